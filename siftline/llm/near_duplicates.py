@@ -13,8 +13,10 @@ inverted lists.
    fixed, and any estimate gives right results, since every set uses the same order.
 2. *Merge the short lists.* Their postings are spread by shingle, packed in blobs, and the lists of
    a partition are merged in columns. Each posting list is ordered by set size, so the merge stops
-   at the size where no partner is possible. A 512-bit sketch of each set bounds the overlap of a
-   pair from above without its sets: nearly all chance meetings end there, and no pair can be lost.
+   at the size where no partner is possible. A meeting counts if what follows it in both sets can
+   still give the overlap, as it does at the first shingle that two partners share. A sketch of each
+   set, of about two bits an element, bounds the overlap of a pair from above without its sets:
+   nearly all chance meetings end there, and no pair can be lost.
 3. *Probe the long lists.* For the pairs left, the remaining shingles of the smaller set are looked
    up in the sorted larger set by binary search, which gives the exact overlap.
 
@@ -41,8 +43,11 @@ from siftline.storage import materialize, partitions, table
 
 #: Shingles are hashes of 5 bytes; the first 20 bits name a range of the histogram.
 GRAM_BYTES, RANGE_BITS, CHUNKS = 5, 20, 64
-#: Bits of the sketch that bounds the overlap of two sets.
+#: Bits of the sketch that bounds the overlap of two sets, for sets of up to half as many elements;
+#: the bits double with the size of the set.
 SKETCH_BITS = 512
+#: Places of shingles are sent up to this one; a later place counts as this, which loses no pair.
+PLACES = 65535
 #: A task forgets the hashes of words, and the classes it has sent, beyond so many.
 REMEMBERED = 2_000_000
 #: Pairs held by a task of the merge before repeated ones are dropped.
@@ -201,12 +206,24 @@ def list_lengths(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def sketches(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each set SKETCH_BITS bits, each the parity of the number of elements that fall on it."""
-    owner = np.repeat(np.arange(len(size)), size)
-    bit = (grams * _C >> np.uint64(55)).astype(np.int64)
-    parity = np.bincount(owner * SKETCH_BITS + bit, minlength=len(size) * SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(len(size), SKETCH_BITS), axis=1)
+def sketch_levels(size: np.ndarray) -> np.ndarray:
+    """How often the bits of the sketches of sets of these sizes are doubled."""
+    return np.ceil(np.log2(np.maximum(size * 2 / SKETCH_BITS, 1)) - 1e-9).astype(np.int64)
+
+
+def sketches(grams: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its sketch of 64-bit words, all in a row, and the number of its words.
+
+    A bit is the parity of the number of elements that fall on it, so two sets that share an element
+    differ by nothing for it. A sketch of twice the bits folds to the shorter one: its halves xored.
+    """
+    bits = SKETCH_BITS << sketch_levels(size)
+    begin = np.cumsum(bits) - bits
+    with np.errstate(over="ignore"):
+        spread = (grams * _C >> np.uint64(32)).astype(np.int64)
+    bit = np.repeat(begin, size) + (spread & np.repeat(bits - 1, size))
+    parity = (np.bincount(bit, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.uint64), bits // 64
 
 
 def short_postings(sets: DataFrame, lengths: np.ndarray, threshold: float, parts: int) -> DataFrame:
@@ -229,8 +246,9 @@ def short_postings(sets: DataFrame, lengths: np.ndarray, threshold: float, parts
                 place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
                 short = np.repeat(size - least_partner(size, threshold) + 1, size)
                 keep = place < short
-                gram, own = grams[order][keep], owner[keep]
-                sketch = sketches(grams, size)
+                gram, own, place = grams[order][keep], owner[keep], place[keep]
+                sketch, words = sketches(grams, size)
+                first_word = np.cumsum(words) - words
                 with np.errstate(over="ignore"):
                     part = ((gram * _A >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
                 out_part, out_blob = [], []
@@ -239,12 +257,18 @@ def short_postings(sets: DataFrame, lengths: np.ndarray, threshold: float, parts
                     if not here.any():
                         continue
                     sets_here, postings = np.unique(own[here], return_counts=True)
-                    head = np.array([len(sets_here), int(here.sum())], np.int64)
+                    own_words = words[sets_here]
+                    at = np.repeat(first_word[sets_here] - np.cumsum(own_words) + own_words, own_words)
+                    own_sketch = sketch[at + np.arange(len(at))]
+                    head = np.array([len(sets_here), int(here.sum()), len(own_sketch)], np.int64)
                     out_part.append(p)
                     out_blob.append(
                         b"".join(
                             x.tobytes()
-                            for x in (head, sig[sets_here], size[sets_here].astype(np.int32), postings.astype(np.int32), sketch[sets_here], (gram[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+                            for x in (
+                                head, sig[sets_here], own_sketch, size[sets_here].astype(np.int32), postings.astype(np.int32),
+                                (gram[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(place[here], PLACES).astype(np.uint16),
+                            )
                         )
                     )
                 yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["part", "blob"])
@@ -254,38 +278,59 @@ def short_postings(sets: DataFrame, lengths: np.ndarray, threshold: float, parts
 
 @dataclass
 class Postings:
-    """What one partition of the merge holds: of its sets, and of their postings in its lists."""
+    """What one partition of the merge holds: of its sets, and of their postings in its lists.
+
+    sketch[level] has a row of words for each set of at least that level, row[level] its number.
+    """
 
     sig: np.ndarray
     size: np.ndarray
-    sketch: np.ndarray
+    level: np.ndarray
+    sketch: list[np.ndarray]
+    row: list[np.ndarray]
     gram: np.ndarray
     owner: np.ndarray
+    place: np.ndarray
 
     @classmethod
     def read(cls, blobs: list[bytes]) -> Postings:
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
         base = 0
         for blob in blobs:
-            n, m = np.frombuffer(blob, np.int64, 2)
-            at = 16
-            got = []
-            for kind, count in ((np.int64, n), (np.int32, n), (np.int32, n), (np.uint64, n * SKETCH_BITS // 64), (np.uint32, m)):
+            n, m, w = np.frombuffer(blob, np.int64, 3)
+            at, got = 24, []
+            for kind, count in ((np.int64, n), (np.uint64, w), (np.int32, n), (np.int32, n), (np.uint32, m), (np.uint16, m)):
                 got.append(np.frombuffer(blob, kind, count, at))
                 at += got[-1].nbytes
-            sig, size, postings, sketch, gram = got
-            for column, x in zip(columns, (sig, size, sketch.reshape(n, -1), gram, np.repeat(np.arange(base, base + n), postings))):
+            sig, sketch, size, postings, gram, place = got
+            owner = np.repeat(np.arange(base, base + n), postings)
+            for column, x in zip(columns, (sig, sketch, size, gram, owner, place)):
                 column.append(x)
             base += n
-        sig, size, sketch, gram, owner = map(np.concatenate, columns)
+        sig, sketch, size, gram, owner, place = map(np.concatenate, columns)
         # a class that several tasks sent counts once
+        words = (SKETCH_BITS << sketch_levels(size)) // 64
         unique, first, inverse = np.unique(sig, return_index=True, return_inverse=True)
-        owner = inverse[owner]
-        order = np.lexsort((owner, size[first][owner], gram))
-        gram, owner = gram[order], owner[order]
+        begin = (np.cumsum(words) - words)[first]
+        size, owner = size[first].astype(np.int64), inverse[owner]
+        level = sketch_levels(size)
+        sketches, rows = [], []
+        for k in range(int(level.max(initial=0)) + 1):
+            have = np.flatnonzero(level >= k)
+            row = np.full(len(unique), -1)
+            row[have] = np.arange(len(have))
+            matrix = np.zeros((len(have), SKETCH_BITS // 64 << k), np.uint64)
+            for j in range(k, int(level.max(initial=0)) + 1):
+                these = np.flatnonzero(level == j)
+                full = sketch[begin[these][:, None] + np.arange(SKETCH_BITS // 64 << j)]
+                matrix[row[these]] = np.bitwise_xor.reduce(full.reshape(len(these), 1 << (j - k), matrix.shape[1]), axis=1)
+            sketches.append(matrix)
+            rows.append(row)
+        order = np.lexsort((owner, size[owner], gram))
+        gram, owner, place = gram[order], owner[order], place[order].astype(np.int64)
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-        return cls(unique, size[first].astype(np.int64), sketch[first], gram[new], owner[new])
+        return cls(unique, size, level, sketches, rows, gram[new], owner[new], place[new])
 
 
 def merge_short_lists(p: Postings, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +339,12 @@ def merge_short_lists(p: Postings, threshold: float) -> tuple[np.ndarray, np.nda
     Every list is walked in order of set size, all lists at once: in round d each posting meets the
     one d places after it in its list, while that one isn't too large to be a partner.
     """
-    size, words = p.size, p.sketch.shape[1]
-    slack = (1 - threshold) / (1 + threshold)
+    slack, share = (1 - threshold) / (1 + threshold), threshold / (1 + threshold)
+    size = p.size[p.owner]
+    most_size = size / threshold + 1e-6
+    # what an overlap needs, less what may follow the meeting: share * (n + m) <= n - place, and so for m
+    spare = size - p.place - share * size + 1e-6
+    need = share * size
     alive = np.arange(len(p.gram))
     found: list[np.ndarray] = []
     held, d = 0, 0
@@ -305,17 +354,26 @@ def merge_short_lists(p: Postings, threshold: float) -> tuple[np.ndarray, np.nda
             alive = alive[: np.searchsorted(alive, len(p.gram) - d)]
         if not len(alive):
             break
-        a, b = p.owner[alive], p.owner[alive + d]
-        keep = (p.gram[alive] == p.gram[alive + d]) & (size[a] >= threshold * size[b] - 1e-9)
-        alive, a, b = alive[keep], a[keep], b[keep]
-        for lo in range(0, len(a), 200_000):
-            x, y = a[lo : lo + 200_000], b[lo : lo + 200_000]
-            most = slack * (size[x] + size[y]) + 1e-9
-            differ = np.zeros(len(x), np.int64)
-            for w in range(0, words, 4):
-                differ += np.bitwise_count(p.sketch[x, w : w + 4] ^ p.sketch[y, w : w + 4]).sum(axis=1, dtype=np.int64)
-                fine = differ <= most
-                x, y, most, differ = x[fine], y[fine], most[fine], differ[fine]
+        other = alive + d
+        keep = (p.gram[alive] == p.gram[other]) & (size[other] <= most_size[alive])
+        alive, other = alive[keep], other[keep]
+        meet = (need[other] <= spare[alive]) & (need[alive] <= spare[other])
+        a, b = p.owner[alive[meet]], p.owner[other[meet]]
+        for lo in range(0, len(a), 100_000):
+            x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
+            for k, (matrix, row) in enumerate(zip(p.sketch, p.row)):
+                if k:  # both have a sketch of this level
+                    finer = (p.level[x] >= k) & (p.level[y] >= k)
+                    coarse_x, coarse_y = x[~finer], y[~finer]
+                    x, y = x[finer], y[finer]
+                    found.append(np.minimum(coarse_x, coarse_y) * len(p.sig) + np.maximum(coarse_x, coarse_y))
+                    held += len(coarse_x)
+                most = slack * (p.size[x] + p.size[y]) + 1e-6
+                differ = np.zeros(len(x), np.int64)
+                for w in range(0, matrix.shape[1], 4):
+                    differ += np.bitwise_count(matrix[row[x], w : w + 4] ^ matrix[row[y], w : w + 4]).sum(axis=1, dtype=np.int64)
+                    fine = differ <= most
+                    x, y, most, differ = x[fine], y[fine], most[fine], differ[fine]
             found.append(np.minimum(x, y) * len(p.sig) + np.maximum(x, y))
             held += len(x)
         if held > PAIRS_HELD:
