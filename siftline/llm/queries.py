@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siftline.llm import near_duplicates
+from siftline.llm import encoding, near_duplicates, packing
 
 QUERIES = {
     "p2_found": near_duplicates.p2_found,
     "p2_groups": near_duplicates.p2_groups,
+    "p6_ids": encoding.p6_ids,
+    "p7_packing": packing.p7_packing,
 }
 
 SQL: dict[str, str] = {}
