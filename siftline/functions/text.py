@@ -63,15 +63,16 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
 def fold(text: Column) -> Column:
     """NFKD, then only ASCII, then small letters; null folds to nothing.
 
-    One pass of ``translate`` does nearly all texts; only those that hold a character that folds to
-    several take the replacements as well.
+    ASCII texts need small letters only, and one pass of ``translate`` does nearly all others; only
+    texts that hold a character that folds to several take the replacements as well.
     """
     source, target, several = fold_tables()
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in several.items()])
     expanded = F.aggregate(pairs, text, lambda t, p: F.replace(t, p["k"], p["v"]))
     rare = "[" + "".join(several) + "]"
     plain = F.translate(F.when(text.rlike(rare), expanded).otherwise(text), source, target)
-    return F.lower(F.regexp_replace(F.coalesce(plain, F.lit("")), r"[^\x00-\x7F]+", ""))
+    plain = F.regexp_replace(plain, r"[^\x00-\x7F]+", "")
+    return F.lower(F.coalesce(F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text), F.lit("")))
 
 
 def fold_sql(text: str) -> str:
