@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from siftline.llm import encoding, near_duplicates, packing
+from siftline.llm import encoding, fusion, near_duplicates, packing, term_counts
 
 QUERIES = {
+    "p1_found": term_counts.p1_found,
+    "p1_counts": term_counts.p1_counts,
     "p2_found": near_duplicates.p2_found,
     "p2_groups": near_duplicates.p2_groups,
+    "p4_found": fusion.p4_found,
+    "p4_ranking": fusion.p4_ranking,
     "p6_ids": encoding.p6_ids,
     "p7_packing": packing.p7_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = term_counts.SQL | fusion.SQL
