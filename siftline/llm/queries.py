@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import encoding, fusion, near_duplicates, packing, term_counts
+from siftline.llm import encoding, fusion, near_duplicates, packing, reading_level, term_counts
 
 QUERIES = {
     "p1_found": term_counts.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p4_ranking": fusion.p4_ranking,
     "p6_ids": encoding.p6_ids,
     "p7_packing": packing.p7_packing,
+    "p8_found": reading_level.p8_found,
+    "p8_levels": reading_level.p8_levels,
 }
 
 SQL: dict[str, str] = term_counts.SQL | fusion.SQL
