@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from siftline.llm import encoding, fusion, near_duplicates, packing, reading_level, term_counts
+from siftline.llm import encoding, fusion, keyword_pages, near_duplicates, packing, reading_level, term_counts
 
 QUERIES = {
     "p1_found": term_counts.p1_found,
     "p1_counts": term_counts.p1_counts,
     "p2_found": near_duplicates.p2_found,
     "p2_groups": near_duplicates.p2_groups,
+    "p3_found": keyword_pages.p3_found,
+    "p3_pages": keyword_pages.p3_pages,
     "p4_found": fusion.p4_found,
     "p4_ranking": fusion.p4_ranking,
     "p6_ids": encoding.p6_ids,
