@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import encoding, fusion, keyword_pages, near_duplicates, packing, reading_level, term_counts
+from siftline.llm import boilerplate, encoding, fusion, keyword_pages, near_duplicates, packing, reading_level, term_counts
 
 QUERIES = {
     "p1_found": term_counts.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p3_pages": keyword_pages.p3_pages,
     "p4_found": fusion.p4_found,
     "p4_ranking": fusion.p4_ranking,
+    "p5_found": boilerplate.p5_found,
+    "p5_main_text": boilerplate.p5_main_text,
     "p6_ids": encoding.p6_ids,
     "p7_packing": packing.p7_packing,
     "p8_found": reading_level.p8_found,
