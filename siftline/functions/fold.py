@@ -8,8 +8,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
-#: Runs of letters and digits; single hyphens and underscores may join them.
-TOKEN = re.compile(r"\b[a-zA-Z0-9]+(?:[-_][a-zA-Z0-9]+)*\b")
+from siftline.functions.rules import DERIVED, DOUBLES, PLURALS, TOKEN_PATTERN, UNDOUBLED, UNSTEMMED, VERBS
+
+TOKEN = re.compile(TOKEN_PATTERN)
 
 #: Every byte that can't belong to a token becomes a space, capitals become small.
 _SPLITTER = bytes(
@@ -47,3 +48,19 @@ def tokens_of_run(run: bytes) -> list[str]:
 def tokenize(text: str | None) -> list[str]:
     """The tokens of a text, in order."""
     return TOKEN.findall(fold(text))
+
+
+def stem(word: str) -> str:
+    """The stem of a word, by the same rules as ``siftline.functions.text``."""
+    if len(word) <= UNSTEMMED:
+        return word
+    w = word.lower()
+    for stage, undouble in ((PLURALS, False), (VERBS, True), (DERIVED, False)):
+        for ending, least, cut, added in stage:
+            if w.endswith(ending) and len(w) >= least:
+                short = w[: len(w) - cut]
+                if undouble and ending in UNDOUBLED and short.endswith(DOUBLES):
+                    short = short[:-1]
+                w = short + added
+                break
+    return w

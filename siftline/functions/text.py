@@ -9,40 +9,10 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Runs of letters and digits; single hyphens and underscores may join them.
-TOKEN_PATTERN = r"\b[a-zA-Z0-9]+(?:[-_][a-zA-Z0-9]+)*\b"
-
-# Stop words of English, and words that only the web's addresses hold.
-STOP_WORDS = """
-a about above after again against all am an and any are aren't as at be because been before being
-below between both but by can can't cannot could couldn't did didn't do does doesn't doing don't down
-during each few for from further had hadn't has hasn't have haven't having he he'd he'll he's her here
-here's hers herself him himself his how how's i i'd i'll i'm i've if in into is isn't it it's its itself
-let's me more most mustn't my myself no nor not of off on once only or other ought our ours ourselves
-out over own same shan't she she'd she'll she's should shouldn't so some such than that that's the
-their theirs them themselves then there there's these they they'd they'll they're they've this those
-through to too under until up very was wasn't we we'd we'll we're we've were weren't what what's when
-when's where where's which while who who's whom why why's with won't would wouldn't you you'd you'll
-you're you've your yours yourself yourselves
-http https www com edu org ac in html php
-""".split()
-
-# The stages of the stemmer. A rule is (ending, least length, letters cut, letters added);
-# of each stage the first rule that fits is applied, and lengths are those the stage begins with.
-PLURALS = [("sses", 4, 2, ""), ("ies", 5, 3, "y"), ("ss", 2, 0, ""), ("s", 4, 1, "")]
-VERBS = [("ingly", 7, 5, ""), ("edly", 6, 4, ""), ("ing", 6, 3, ""), ("ed", 5, 2, "")]
-#: After these verb endings, one of two equal letters goes as well.
-UNDOUBLED, DOUBLES = ("ing", "ed"), ("bb", "dd", "gg", "mm", "nn", "pp", "rr", "tt")
-DERIVED = [
-    ("ization", 9, 7, "ize"), ("ational", 9, 5, "e"), ("tional", 8, 4, ""), ("ation", 7, 5, "e"), ("tion", 6, 3, ""),
-    ("ment", 7, 4, ""), ("ness", 7, 4, ""), ("able", 7, 4, ""), ("ible", 7, 4, ""), ("ly", 5, 2, ""),
-]
-#: Words up to this length are their own stem.
-UNSTEMMED = 3
-
+from siftline.functions.rules import DERIVED, DOUBLES, PLURALS, STOP_WORDS, TOKEN_PATTERN, UNDOUBLED, UNSTEMMED, VERBS
 
 @lru_cache
 def fold_tables() -> tuple[str, str, dict[str, str]]:
@@ -67,10 +37,12 @@ def fold(text: Column) -> Column:
     texts that hold a character that folds to several take the replacements as well.
     """
     source, target, several = fold_tables()
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in several.items()])
-    expanded = F.aggregate(pairs, text, lambda t, p: F.replace(t, p["k"], p["v"]))
-    rare = "[" + "".join(several) + "]"
-    plain = F.translate(F.when(text.rlike(rare), expanded).otherwise(text), source, target)
+    # one literal, which the optimizer splits once: a character and what it folds to
+    pairs = F.split(F.lit("\n".join(k + v for k, v in several.items())), "\n")
+    expand = lambda t: F.aggregate(pairs, t, lambda t, p: F.replace(t, F.substring(p, 1, 1), F.substring(p, F.lit(2), F.length(p))))
+    plain = F.translate(text, source, target)
+    other = F.regexp_replace(plain, r"[\x00-\x7F]+", "")  # what is left to look at, mostly nothing
+    plain = F.when((other != "") & other.rlike("[" + "".join(several) + "]"), expand(plain)).otherwise(plain)
     plain = F.regexp_replace(plain, r"[^\x00-\x7F]+", "")
     return F.lower(F.coalesce(F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text), F.lit("")))
 
@@ -163,3 +135,27 @@ def stem_sql(word: str) -> str:
     for rules, undouble in ((PLURALS, False), (VERBS, True), (DERIVED, False)):
         staged = f"list_transform({staged}, lambda w: {_stage_sql('w', rules, undouble)})"
     return f"(CASE WHEN length({word})<={UNSTEMMED} THEN {word} ELSE ({staged})[1] END)"
+
+
+def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
+    """``df`` with the stem of the column ``word``. Each stage is a column of its own, which the optimizer
+    doesn't copy into the next, so the rules stay compiled code over exploded words."""
+    w = F.col(word)
+    df = df.withColumn("__1", _stage(w, PLURALS))
+    df = df.withColumn("__2", _stage(F.col("__1"), VERBS, True))
+    df = df.withColumn(out, F.when(F.length(w) > UNSTEMMED, _stage(F.col("__2"), DERIVED)).otherwise(w))
+    return df.drop("__1", "__2")
+
+
+#: White space between words, as a pattern: all that Unicode calls so, and the ASCII separators.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+SPACE_SQL = r"[\s\x0b\x1c-\x1f\x{85}\pZ]+"
+
+
+def word_count(text: Column) -> Column:
+    """The number of runs between white space; 0 for null."""
+    return F.coalesce(F.size(F.filter(F.split(text, SPACE), lambda w: w != "")), F.lit(0))
+
+
+def word_count_sql(text: str) -> str:
+    return f"coalesce(len(list_filter(regexp_split_to_array({text},'{SPACE_SQL}'), lambda w: w <> '')),0)"

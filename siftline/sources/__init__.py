@@ -1,0 +1 @@
+"""Where pages and logs come from, and where they go."""
