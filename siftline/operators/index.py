@@ -22,25 +22,34 @@ def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, tokens): the tokens of title, description and body, in this order."""
-    return docs.select("doc_id", tokens(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in TEXTS])).alias("tokens"))
+    """(doc_id, tokens): the tokens of title, description and body, in this order.
+
+    Pages are spread by doc_id while they are texts, which are smaller than what is made of them; all
+    that is later grouped by page, or page and term, needs no further exchange.
+    """
+    texts = docs.select("doc_id", F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in TEXTS]).alias("text")).repartition("doc_id")
+    return texts.select("doc_id", tokens(F.col("text")).alias("tokens"))
 
 
 def token_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, token, position), positions from 0 over all tokens."""
-    return doc_tokens(docs).select("doc_id", F.posexplode("tokens").alias("position", "token")).select("doc_id", "token", "position")
+    """(doc_id, token, position), positions from 0 over all tokens.
+
+    An inner explode would have the optimizer filter by the number of tokens first, and so make them twice.
+    """
+    each = doc_tokens(docs).select("doc_id", F.posexplode_outer("tokens").alias("position", "token"))
+    return each.where("token is not null").select("doc_id", "token", "position")
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, term_frequency, positions): stems of all tokens but stop words and single letters.
 
-    The tokens of a page stay together from the scan on, so the only exchange is the one by page and
-    term, after the aggregation within each task.
+    The only exchange is that of the texts by page: the aggregation is within each task.
     """
     kept = token_positions(docs).where(~is_stop_word(F.col("token")) & (F.length("token") >= 2))
     return (
-        with_stem(kept, "token", "term").groupBy("term", "doc_id")
+        with_stem(kept, "token", "term").groupBy("doc_id", "term")
         .agg(F.count("*").cast("int").alias("term_frequency"), F.sort_array(F.collect_list("position")).alias("positions"))
+        .select("term", "doc_id", "term_frequency", "positions")
     )
 
 
