@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The session setting that names the folder which driver and executors share.
 SHARED_DIR_KEY = "spark.checkpoint.dir"
@@ -49,17 +50,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Repeated keys up to this number are broadcast; they take 16 bytes each, or the length of a string.
+BROADCAST_KEYS = 100_000
+
+
 def without_copies(df: DataFrame, key: str) -> DataFrame:
     """One row for each value of ``key``, which may be null.
 
     Rows delivered twice are rare, and rows are wide: so the keys alone are shuffled to find the
-    repeated ones, and only their rows travel in full. All other rows stay where they are read. The
-    repeated rows are reduced on the map side first, hence a key that holds a third of all rows
+    repeated ones, and only their rows travel in full; all other rows stay where they are read. The
+    repeated keys are counted first: few are broadcast, more than BROADCAST_KEYS are joined by a
+    shuffle. The repeated rows are reduced on the map side, hence a key that holds a third of all rows
     still sends one row per task.
     """
-    from pyspark.sql import functions as F
-
     repeated = df.groupBy(F.col(key).alias("__k")).count().where("count > 1").select("__k")
+    n = repeated.count()
+    if not n:
+        return df
+    if n <= BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
     same = df[key].eqNullSafe(repeated["__k"])
     return df.join(repeated, same, "left_anti").unionByName(
         df.join(repeated, same, "left_semi").dropDuplicates([key])
