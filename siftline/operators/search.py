@@ -10,6 +10,7 @@ from siftline.functions.numbers import rounded
 from siftline.functions.text import word_count
 from siftline.operators.index import corpus_stats, doc_frequency
 from siftline.plans.parse import parse
+from siftline.storage import materialize, partitions
 
 
 def bm25_idf(df: Column, n: Column) -> Column:
@@ -40,11 +41,6 @@ def query_terms(parsed: DataFrame) -> DataFrame:
     return parsed.select("query_id", F.explode("search_terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def candidates(parsed: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, term, qtf, doc_id, term_frequency, positions): the postings of the queries' terms."""
-    return postings.join(query_terms(parsed), "term")
-
-
 def search(
     queries: DataFrame, docs: DataFrame, postings: DataFrame, lengths: DataFrame, *, method: str = "bm25", limit: int | None = 50,
     domain: str | None = None, boosts: bool = True, all_terms: bool = False, phrases: bool = False, exclude: bool = False, settings: Settings = DEFAULTS,
@@ -57,22 +53,26 @@ def search(
     ``all_terms`` keeps pages that hold every term of AND queries, ``phrases`` those that hold each
     phrase in a row, ``exclude`` drops pages that hold an excluded term. An unknown method is BM25.
     """
-    parsed = parse(queries).where(F.size("search_terms") > 0)
-    hits = candidates(parsed, postings)
-    # of the terms asked for only
-    df = doc_frequency(postings.join(query_terms(parsed).select("term").distinct(), "term", "left_semi"))
-    scored = hits.join(df, "term").crossJoin(corpus_stats(lengths))
+    # read several times below
+    parsed = materialize(parse(queries).where(F.size("search_terms") > 0), "parsed-queries")
+    terms = query_terms(parsed)
+    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
     facts = page_facts(docs, lengths)
     needed = facts.select("doc_id", "title", "domain", "pagerank_score", "doc_len")
-    scored = scored.join(needed.select("doc_id", "doc_len"), "doc_id")
     c = F.col
     if method.lower() == "tfidf":
         part = tfidf_score(c("term_frequency"), c("df"), c("n_docs"))
     else:
         part = bm25_score(c("term_frequency"), c("df"), c("doc_len"), c("avgdl"), c("n_docs"), settings)
-    sums = scored.groupBy("query_id", "doc_id").agg(F.sum(c("qtf") * part).alias("base"), F.count("*").alias("n_terms"))
+    # a posting scores the same for every query: so postings are scored and spread by page before the queries
+    # meet them, and the many pairs of queries and pages are summed where they arise. The number of partitions
+    # is stated, since adaptive execution would go by the size of the postings, not by that of the pairs
+    scored = asked.join(doc_frequency(asked), "term").crossJoin(corpus_stats(lengths)).join(needed.select("doc_id", "doc_len"), "doc_id")
+    scored = scored.select("term", "doc_id", part.alias("part")).repartition(partitions(queries.sparkSession), "doc_id")
+    sums = scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(c("qtf") * c("part")).alias("base"), F.count("*").alias("n_terms"))
     sums = sums.join(parsed.select("query_id", "raw_terms", "site", "operator", F.size(F.array_distinct("search_terms")).alias("asked")), "query_id")
-    sums = sums.join(needed.drop("doc_len"), "doc_id")
+    # the pages of a partition are hashed, so that the sums need no sort
+    sums = sums.join(needed.drop("doc_len").hint("shuffle_hash"), "doc_id")
     wanted = F.coalesce(F.lit(domain), c("site"))
     sums = sums.where(_domain_holds(wanted))
     if all_terms:

@@ -168,7 +168,7 @@ def paginate(spark, d):
 
 @query(f"""WITH {R.hits()} {R.top('hits JOIN parsed USING (query_id)', 50, "operator <> 'AND' OR n_terms = len(list_distinct(CASE WHEN len(terms) > 0 THEN terms ELSE raw_terms END))")}""")
 def and_search(spark, d):
-    """Queries with AND between all their words, which here are the logged ones, each word with the next."""
+    """The logged queries, of which those with AND keep only pages that hold every term."""
     return Collection(spark, d).search(all_terms=True)
 
 
