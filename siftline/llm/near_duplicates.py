@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.fold import runs, tokens_of_run
+from siftline.functions.text import tokens_sql
 from siftline.operators.components import connected_components
 from siftline.storage import materialize, partitions, table
 
@@ -511,3 +512,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page of docs with at least 20 tokens, its class of equal texts and its group of near-duplicates."""
     return groups(_of_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+SQL = {
+    "p2_found": f"""
+WITH tk AS (SELECT DISTINCT doc_id, {tokens_sql("body")} AS t FROM docs WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM tk WHERE len(t) >= 20)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
+SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE 10 * k >= 6 * (x.n + y.n - k)""",
+}

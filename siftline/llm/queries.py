@@ -7,6 +7,7 @@ from siftline.llm import boilerplate, encoding, fusion, keyword_pages, near_dupl
 QUERIES = {
     "p1_found": term_counts.p1_found,
     "p1_counts": term_counts.p1_counts,
+    "p1_incremental": term_counts.p1_incremental,
     "p2_found": near_duplicates.p2_found,
     "p2_groups": near_duplicates.p2_groups,
     "p3_found": keyword_pages.p3_found,
@@ -21,4 +22,4 @@ QUERIES = {
     "p8_levels": reading_level.p8_levels,
 }
 
-SQL: dict[str, str] = term_counts.SQL | fusion.SQL
+SQL: dict[str, str] = term_counts.SQL | near_duplicates.SQL | fusion.SQL
