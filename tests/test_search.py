@@ -91,7 +91,7 @@ def test_golden_scores(spark):
 
 
 PARSES = [
-    ('"operating systems" memory -windows site:iitd.ac.in', ["memory"], [["operat", "system"]], ["window"], "iitd.ac.in", "OR"),
+    ('"operating systems" memory -windows site:cs.example', ["memory"], [["operat", "system"]], ["window"], "cs.example", "OR"),
     ('Python AND "Machine Learning" NOT syllabus', ["python"], [["machine", "learn"]], ["syllabu"], None, "AND"),
     ("algorithms OR structures NOT java", ["algorithm", "structure"], [], ["java"], None, "OR"),
     ("java -java", [], [], ["java"], None, "OR"),
