@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.config import DEFAULTS
 from siftline.functions.text import tokens
+from siftline.storage import materialize
 
 #: Edits between a word and its correction, and letters a word must have to be corrected.
 DISTANCE, SHORTEST = 2, 3
@@ -17,7 +18,8 @@ def vocabulary(frequency: DataFrame, *, common: tuple[str, ...] = DEFAULTS.commo
     """(term, freq): the terms of the collection, and common words that it doesn't have."""
     spark = frequency.sparkSession
     words = spark.createDataFrame([(w, COMMON_WEIGHT) for w in common], "term string, freq long")
-    own = frequency.select("term", F.col("df").alias("freq"))
+    # read twice, and dear to make
+    own = materialize(frequency.select("term", F.col("df").alias("freq")), "term-frequencies")
     return own.unionByName(words.join(own, "term", "left_anti"))
 
 
@@ -36,11 +38,12 @@ def correct_words(words: DataFrame, vocab: DataFrame, *, distance: int = DISTANC
     nearest word, the more frequent and then the first of those equally near. No row for the others.
 
     Candidates come from an equality join on shortened forms, so no word is compared with the whole
-    vocabulary; their distance is then computed.
+    vocabulary; their distance is then computed. An inner explode would have the optimizer make all
+    forms once more, to filter by their number.
     """
     unknown = words.select("word").where(F.length("word") >= SHORTEST).distinct().join(vocab, F.col("word") == F.col("term"), "left_anti")
-    a = unknown.select("word", F.explode(shortened(F.col("word"), distance)).alias("form"))
-    b = vocab.select("term", "freq", F.explode(shortened(F.col("term"), distance)).alias("form"))
+    a = unknown.select("word", F.explode_outer(shortened(F.col("word"), distance)).alias("form"))
+    b = vocab.select("term", "freq", F.explode_outer(shortened(F.col("term"), distance)).alias("form"))
     pairs = a.join(b, "form").select("word", "term", "freq").distinct()
     near = pairs.withColumn("d", F.levenshtein("word", "term", distance)).where(F.col("d") >= 0)
     return near.groupBy("word").agg(F.min_by("term", F.struct("d", -F.col("freq"), "term")).alias("correction"))

@@ -326,13 +326,13 @@ def edit_distance(spark, d):
 def spell_correct(spark, d):
     """Corrections of the words of all logged queries."""
     words = logged(spark, d).select(F.explode(T.tokens(F.col("query"))).alias("word"))
-    return spell.correct_words(words, materialize(_vocabulary(spark, d), "vocabulary"))
+    return spell.correct_words(words, _vocabulary(spark, d))
 
 
 @query(f"""WITH {_VOCABULARY}, c AS (SELECT query_id, query, array_to_string(list(coalesce(correction, word) ORDER BY no), ' ') AS correction, count(correction) AS n FROM qw LEFT JOIN fix USING (word) GROUP BY query_id, query)
 SELECT query_id, query, correction FROM c WHERE n > 0 AND lower(trim(query)) <> lower(trim(correction))""")
 def did_you_mean(spark, d):
-    return spell.did_you_mean(logged(spark, d), materialize(_vocabulary(spark, d), "vocabulary"))
+    return spell.did_you_mean(logged(spark, d), _vocabulary(spark, d))
 
 
 # --- graph ----------------------------------------------------------------------------------------
