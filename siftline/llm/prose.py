@@ -21,6 +21,12 @@ HOLDERS = 2
 #: Long sentences name more things that no sample has: of them fewer pairs must be known, and more triples.
 LEAST_WORDS, PAIR_SHARE, LEAST_TRIPLES = 4, 0.25, 1
 LONG, LONG_PAIR_SHARE, LONG_TRIPLES = 12, 0.15, 2
+#: Besides, so many different content words must stand in its known pairs: keywords strung on articles and
+#: conjunctions have known pairs and triples too, but not of content words.
+LEAST_CONTENT = 2
+#: Function words are those that most samples of a language hold: such a share of its words at most, so
+#: many at most, each in such a share of the samples at least. All other known words are content words.
+FUNCTION_SHARE, MOST_FUNCTION, FUNCTION_HOLDERS = 0.03, 100, 0.25
 
 #: Words, and the marks at which a sentence or an item of a list ends.
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;|/*\n\r]")
@@ -38,6 +44,7 @@ def train(rows: list[tuple[str, str]]) -> dict:
     holders: dict[str, Counter] = defaultdict(Counter)
     pairs, triples = Counter(), Counter()
     sentences = []
+    samples = Counter(lang for lang, _ in rows)
     for lang, text in rows:
         own = [s for s in _split(TOKEN.findall(plain(text))) if s]
         holders[lang].update({w for s in own for w in s})
@@ -58,7 +65,13 @@ def train(rows: list[tuple[str, str]]) -> dict:
     known = np.zeros((len(langs), len(words) + 2), np.int32)
     for i, lang in enumerate(langs):
         known[i, [words[w] for w, n in holders[lang].items() if n >= HOLDERS and w in words]] = 1
-    return {"words": words, "pairs": pair, "triples": triple, "langs": langs, "known": known}
+    content = np.ones(len(words) + 2, bool)
+    content[:2] = False
+    for lang in langs:
+        own = sorted((-n, w) for w, n in holders[lang].items() if n >= HOLDERS and w in words)
+        most = min(MOST_FUNCTION, int(FUNCTION_SHARE * len(own)))
+        content[[words[w] for n, w in own[:most] if -n >= FUNCTION_HOLDERS * samples[lang]]] = False
+    return {"words": words, "pairs": pair, "triples": triple, "langs": langs, "known": known, "content": content}
 
 
 def _split(tokens: list[str]) -> list[list[str]]:
@@ -87,7 +100,7 @@ def _is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 class Sentences:
     """The sentences of some texts: their owner (the place of the text), words, known pairs and
-    triples, and words known in each language."""
+    triples, different content words in known pairs, and words known in each language."""
 
     def __init__(self, texts: list[str | None], model: dict):
         get = model["words"].get
@@ -111,13 +124,18 @@ class Sentences:
         padded[place] = ids
         first = starts + 2 * np.arange(len(starts))
         if not len(starts):
-            self.pairs = self.triples = self.size
+            self.pairs = self.triples = self.content = self.size
             self.known = np.zeros((len(model["langs"]), 0), np.int64)
             return
         a, b = padded[:-1], padded[1:]
         pair = _is_in(model["pairs"], a << _BITS | b) * (a > 0) * (b > 0)
         pair = np.r_[pair, 0]
         pair[np.r_[first[1:], len(padded)] - 1] = 0  # from one sentence to the next
+        at = np.flatnonzero(pair)
+        sentence = np.repeat(np.arange(len(starts)), self.size + 2)[at]
+        both = np.r_[sentence << _BITS | padded[at], sentence << _BITS | padded[at + 1]]
+        different = np.unique(both[model["content"][both & (1 << _BITS) - 1]])
+        self.content = np.bincount(different >> _BITS, minlength=len(starts))
         triple = np.r_[_is_in(model["triples"], (a[:-1] << _BITS | b[:-1]) << _BITS | padded[2:]) * (a[:-1] > 0) * (b[:-1] > 0) * (padded[2:] > 0), 0, 0]
         for back in (1, 2):
             triple[np.r_[first[1:], len(padded)] - back] = 0
@@ -126,5 +144,7 @@ class Sentences:
 
     def real(self) -> np.ndarray:
         """Which sentences are real ones."""
+        named = self.content >= LEAST_CONTENT
         enough = (self.size >= LEAST_WORDS) & (self.pairs >= PAIR_SHARE * self.size) & (self.triples >= LEAST_TRIPLES)
-        return enough | (self.size >= LONG) & (self.pairs >= LONG_PAIR_SHARE * self.size) & (self.triples >= LONG_TRIPLES)
+        long = (self.size >= LONG) & (self.pairs >= LONG_PAIR_SHARE * self.size) & (self.triples >= LONG_TRIPLES)
+        return named & (enough | long)

@@ -111,3 +111,41 @@ def test_prose_model_counts_by_brute_force():
     assert s.owner.tolist() == [0, 0, 3, 3] and s.size.tolist() == [6, 3, 2, 1]
     assert s.pairs.tolist() == [7, 0, 2, 1] and s.triples.tolist() == [6, 0, 1, 0]
     assert s.real().tolist() == [True, False, False, False]
+
+
+def graded():
+    pq = pytest.importorskip("pyarrow.parquet")
+    try:
+        return pq.read_table("/root/testdata/sf0.001/reading_samples.parquet").to_pylist()
+    except FileNotFoundError:
+        pytest.skip("no test data")
+
+
+def dressed(rng):
+    """German keywords dressed up as sentences, as TESTDATA counts among keywords."""
+    goods = ["pliabet studienkredit", "laptop angebot stuvap", "briavur klausur lösungen", "gratis skripte yuzaedrind", "rucksack sale brarip"]
+    a, b, c = (rng.choice(goods) for _ in range(3))
+    return rng.choice([f"das ist die {a} und der {b} für {a}", f"die {a} und die {b} für die {a}", f"alle {a} in der {b} mit der {c}"])
+
+
+def test_keywords_strung_on_function_words_are_no_sentences():
+    rows, rng = graded(), random.Random(7)
+    model = prose.train([(r["lang"], r["text"]) for r in rows])
+    strings = ["das ist die pliabet studienkredit und der laptop angebot stuvap für pliabet studienkredit", "le sac soldes heikein et le offre portable gouzoukrirk pour le sac soldes heikein", *(dressed(rng) for _ in range(200))]
+    assert not prose.Sentences(strings, model).real().any()
+    s = prose.Sentences([r["text"] for r in rows if r["lang"] == "de"], model)
+    assert s.real()[s.size >= 6].mean() > 0.95
+    s = prose.Sentences(["Unsere Klasse spricht über Zeiglil, danach sendet der Kalender ein Bild."], model)
+    assert s.real().tolist() == [True] and s.content[0] >= prose.LEAST_CONTENT
+
+
+def test_german_pages_of_dressed_keywords_are_found(spark):
+    rows, rng = graded(), random.Random(8)
+    prose_rows = [(k, f"https://p{k}.example/", r["text"]) for k, r in enumerate(r for r in rows if r["lang"] == "de")]
+    first = "Unsere Klasse spricht über Zeiglil, danach sendet der Kalender ein Bild.\n"
+    spam = [(900 + k, f"https://s{k}.example/", (first if k % 2 else "") + ". ".join(dressed(rng) for _ in range(25)) + ".") for k in range(6)]
+    docs = spark.createDataFrame(prose_rows + spam, "doc_id long, url string, body string")
+    samples = spark.createDataFrame([(r["sample_id"], r["lang"], r["text"]) for r in rows], "sample_id long, lang string, text string")
+    links = spark.createDataFrame([], "source_url string, target_url string, anchor_text string")
+    out = keyword_pages.judged_pages(docs, "doc_id", "url", "body", links, samples)
+    assert {r.doc_id for r in out.where("found").collect()} == {r[0] for r in spam}
