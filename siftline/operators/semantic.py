@@ -47,16 +47,17 @@ def encode(df: DataFrame, id_col: str, text_col: str, *, dim: int = DEFAULTS.emb
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, embedding array<float>")
 
 
-def page_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): what of a page is encoded: title, description and the first 2000 characters of the body,
-    as the engine's semantic index is defined."""
+def page_texts(docs: DataFrame, body_chars: int | None = None) -> DataFrame:
+    """(doc_id, text): what of a page is encoded: title, description and body, or the first ``body_chars``
+    characters of it, for models that read no more."""
     part = lambda c: F.coalesce(c, F.lit(""))
-    return docs.select("doc_id", F.concat_ws(" ", part("title"), part("description"), F.substring(part("body"), 1, 2000)).alias("text"))
+    body = part("body") if body_chars is None else F.substring(part("body"), 1, body_chars)
+    return docs.select("doc_id", F.concat_ws(" ", part("title"), part("description"), body).alias("text"))
 
 
-def build(docs: DataFrame, vectors: DataFrame | None = None, *, dim: int = DEFAULTS.embedding_dim) -> DataFrame:
+def build(docs: DataFrame, vectors: DataFrame | None = None, *, dim: int = DEFAULTS.embedding_dim, body_chars: int | None = None) -> DataFrame:
     """``vectors`` and those of the pages that had none; null vectors are made anew."""
-    texts = page_texts(docs)
+    texts = page_texts(docs, body_chars)
     if vectors is None:
         return encode(texts, "doc_id", "text", dim=dim)
     held = vectors.where(F.col("embedding").isNotNull())

@@ -180,3 +180,13 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert [(r.query, r["count"], r.avg_results) for r in spark.table("freq").collect()] == [("a", 2, 3.0)]
     assert {r.key: r.weight for r in spark.table("sugg").collect()}["a"] == 3
+
+
+def test_whole_bodies_are_encoded(spark):
+    from siftline.operators import semantic
+
+    docs = spark.createDataFrame([(1, "t", None, "word " * 600 + "sorting"), (2, "t", "", "word " * 600), (3, None, None, None)], "doc_id long, title string, description string, body string")
+    whole = {r.doc_id: r.embedding for r in semantic.build(docs).collect()}
+    assert len(whole) == 3 and whole[1] != whole[2]
+    cut = {r.doc_id: r.embedding for r in semantic.build(docs, body_chars=2000).collect()}
+    assert cut[1] == cut[2] and len(cut) == 3
