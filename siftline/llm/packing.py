@@ -1,15 +1,17 @@
 """Problem 7: texts of varying length into as few containers of a capacity as can be reached.
 
-Bin completion (Korf 2003) with branch and bound, on the histogram of sizes instead of on items.
+Greedy bin completion, after Korf (2003), on the histogram of sizes instead of on items.
 
 Sizes are whole numbers up to the capacity, so the items of a collection of any size are a
 histogram of at most ``capacity`` counts; that is all the driver sees. It fills containers around
-the largest size left: among the undominated fillings of the room that is left, found by a
-depth-first search with a bound on the waste, it takes the one that wastes least, and repeats it as
-often as the counts allow. Small items are what fills the last gaps, so a filling also pays a price
-for each further item; every price is a branch. Best-fit decreasing on the same histogram is the
-first incumbent, and the search ends when a plan meets the lower bound on containers. The plan says, for each size, which range of the items of that size goes to which containers; the items
-then find their container by their number within their size, on the executors.
+the largest size left: among the fillings of the room that is left, found by a depth-first search
+that ends at an exact fit or after ``NODES`` nodes, it takes the one that wastes least, and repeats
+it as often as the counts allow. It never goes back to another filling, so a plan need not be the
+best. Small items are what fills the last gaps, so a filling also pays a price for each further item;
+only at a price above 0 does the bound on the cost end a branch. Each price gives a plan, the best of
+these and of best-fit decreasing is taken, and none is made once one meets the lower bound on
+containers. The plan says, for each size, which range of the items of that size goes to which
+containers; the items then find their container by their number within their size, on the executors.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from siftline.storage import materialize, table, without_copies
 
 #: Nodes that the search for one filling may visit before it takes the best one found so far.
 NODES = 2000
-#: Prices, in tokens of waste, of each further item of a filling: the branches of the search.
+#: Prices, in tokens of waste, of each further item of a filling: a plan is made with each.
 PRICES = (0.0, 0.5, 1.0, 2.0)
 
 
@@ -158,7 +160,7 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES, price: float
 
 
 def plan(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Fill]:
-    """The best of best-fit decreasing and the branches of bin completion."""
+    """The best of best-fit decreasing and of greedy bin completion with each price."""
     bound = lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
     for price in PRICES:
