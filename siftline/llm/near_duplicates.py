@@ -1,24 +1,33 @@
 """Problem 2: records whose texts share most of their word shingles.
 
-T-occurrence search in the manner of DivideSkip (Li, Lu and Lu 2008), spread over a cluster.
+T-occurrence search by DivideSkip (Li, Lu and Lu 2008), spread over a cluster.
 
 A text is the set of its shingles (so many tokens in a row), each a 40-bit hash. Two texts are
-linked if the Jaccard similarity of their sets is at least the threshold. A partner of a set of n
-shingles must hold at least T = ceil(threshold * n) of them, that is, it must occur in T of the n
-inverted lists.
-
-1. *Divide.* Each set puts its shingles in order of the estimated length of their inverted lists.
-   The T - 1 longest are set aside; a partner must occur in at least one of the remaining short
-   ones. The estimates come from a histogram of all shingles over 2^20 hash ranges: its size is
-   fixed, and any estimate gives right results, since every set uses the same order.
-2. *Merge the short lists.* Their postings are spread by shingle, packed in blobs, and the lists of
-   a partition are merged in columns. Each posting list is ordered by set size, so the merge stops
-   at the size where no partner is possible. A meeting counts if what follows it in both sets can
-   still give the overlap, as it does at the first shingle that two partners share. A sketch of each
-   set, of about two bits an element, bounds the overlap of a pair from above without its sets:
-   nearly all chance meetings end there, and no pair can be lost.
-3. *Probe the long lists.* For the pairs left, the remaining shingles of the smaller set are looked
-   up in the sorted larger set by binary search, which gives the exact overlap.
+linked if the Jaccard similarity of their sets is at least the threshold, that is, if they share
+T = ceil(threshold / (1 + threshold) * (n + m)) of their n and m shingles: if one occurs in T of the
+inverted lists of the other.
+
+1. *Divide.* Each set orders its shingles by the estimated length of their inverted lists, then by
+   hash: one order for all sets. The L longest lists are set aside, the others are its short lists.
+   L = T / (1 + mu * log2 M), with M the longest list and T the least overlap with any partner. The
+   estimates come from a histogram of all shingles over hash ranges, whose size is fixed; any
+   estimate gives right results.
+2. *Merge the short lists, counting.* Their postings are spread by shingle and packed in blobs; the
+   lists of a partition are merged by columns, and each meeting of two sets counts. The counts of a
+   pair are summed over all partitions. Take the one of two sets whose short lists end first in the
+   common order: its short lists hold the other set only where that one has the shingle among its
+   short ones, so the count is exactly the number of its short lists that hold the partner. The pair
+   goes on if this number reaches T - L.
+3. *Probe the long lists.* The sets of the pairs that are left are inverted: each partition holds
+   the lists of its own records, sorted. The first set's L long lists are probed for the partner by
+   binary search. Count and hits are the exact overlap.
+
+Bounds end chance meetings before they are counted, and none can end a pair that is similar enough,
+nor one of its meetings: the sizes; what may stand before and after a meeting in both sets; and a
+sketch of each set, of 1.5 to 3 bits an element, which bounds the overlap from above.
+
+A short list beyond HOT postings (or 16 times the mean of a range of the histogram) is split: its
+sets fall in groups by their hash, and each two groups meet in a task of their own.
 
 Texts with equal sets form one class: a task sends a class once, however many copies it has, and
 links are found between classes. Nothing about single texts reaches the driver.
@@ -42,13 +51,22 @@ from siftline.functions.text import tokens_sql
 from siftline.operators.components import connected_components
 from siftline.storage import materialize, partitions, table
 
-#: Shingles are hashes of 5 bytes; the first 20 bits name a range of the histogram.
-GRAM_BYTES, RANGE_BITS, CHUNKS = 5, 20, 64
-#: Bits of the sketch that bounds the overlap of two sets, for sets of up to half as many elements;
+#: Shingles are hashes of 5 bytes; the first 20 to 24 bits name a range of the histogram: as many ranges
+#: as there are texts, between these bounds.
+GRAM_BYTES, LEAST_BITS, MOST_BITS, CHUNKS = 5, 20, 24, 64
+#: How much the length of the longest list counts against setting lists aside.
+MU = 0.0085
+#: Bits of the sketch that bounds the overlap of two sets, for sets of up to 1 / 1.5 as many elements;
 #: the bits double with the size of the set.
-SKETCH_BITS = 512
-#: Places of shingles are sent up to this one; a later place counts as this, which loses no pair.
+SKETCH_BITS, BITS_PER_ELEMENT = 256, 1.5
+#: Places of shingles are sent up to this one; a later place bounds nothing, which loses no pair.
 PLACES = 65535
+#: Postings beyond which a list is split, and groups that it is split into at most.
+HOT, MOST_GROUPS = 8192, 4095
+#: Lists of up to so many postings are merged all at once, longer ones posting by posting.
+AT_ONCE = 400
+#: Postings that a partition of the merge holds on average at most.
+PER_PARTITION = 4_000_000
 #: A task forgets the hashes of words, and the classes it has sent, beyond so many.
 REMEMBERED = 2_000_000
 #: Pairs held by a task of the merge before repeated ones are dropped.
@@ -71,8 +89,6 @@ class Shingler:
 
     def words(self, text: str | None) -> np.ndarray:
         found, known = runs(text), self.known
-        if len(found) * 20 < self.least:
-            return np.empty(0, np.uint64)
         try:
             hashes = [known[r] for r in found]
         except KeyError:
@@ -170,22 +186,44 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_toke
     )
 
 
-def list_lengths(sets: DataFrame) -> np.ndarray:
-    """The class of the estimated list length of each hash range, 0 to 255: one byte a range.
+@dataclass
+class Lengths:
+    """Estimated lengths of the inverted lists: of each hash range a class, 8 to each doubling; one byte a range."""
+
+    classes: np.ndarray
+    bits: int
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The class of each shingle's list."""
+        return self.classes[(grams >> np.uint64(8 * GRAM_BYTES - self.bits)).astype(np.int64)]
+
+    def postings(self) -> float:
+        """About how many postings all lists have together."""
+        return float((2.0 ** (self.classes[self.classes > 0] / 8) - 1).sum())
+
+    def parts(self) -> tuple[np.ndarray, int]:
+        """Its parts, to broadcast: executors need not have this class."""
+        return self.classes, self.bits
+
+    def groups(self, hot: int) -> np.ndarray:
+        """For each class the number of groups that its lists are split into; 1 for no split."""
+        most = max(hot, 16 * self.postings() / len(self.classes))
+        return np.minimum(np.ceil(2.0 ** (np.arange(256) / 8) / most), MOST_GROUPS).astype(np.int64)
 
-    Partial histograms are summed in CHUNKS pieces on the executors; what the driver collects and
-    broadcasts has 2^RANGE_BITS entries whatever the size of the collection.
-    """
-    per = 2**RANGE_BITS // CHUNKS
+
+def list_lengths(sets: DataFrame) -> Lengths:
+    """Partial histograms are summed in CHUNKS pieces on the executors; what the driver collects and
+    broadcasts has at most 2^MOST_BITS bytes whatever the size of the collection."""
+    bits = min(max(LEAST_BITS, math.ceil(math.log2(max(1, sets.count())))), MOST_BITS)
+    per = 2**bits // CHUNKS
 
     def count(batches):
-        total = np.zeros(2**RANGE_BITS, np.int64)
+        total = np.zeros(2**bits, np.int64)
         for batch in batches:
             blobs = [b for b in batch.column(0).to_pylist() if b]
             if blobs:
                 grams, _ = unpack_all(blobs)
-                ranges = (grams >> np.uint64(8 * GRAM_BYTES - RANGE_BITS)).astype(np.int64)
-                total += np.bincount(ranges, minlength=2**RANGE_BITS)
+                total += np.bincount((grams >> np.uint64(8 * GRAM_BYTES - bits)).astype(np.int64), minlength=2**bits)
         if total.any():
             parts = [zlib.compress(total[k * per : (k + 1) * per].tobytes(), 1) for k in range(CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
@@ -200,16 +238,16 @@ def list_lengths(sets: DataFrame) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     summed = sets.select("grams").where("grams is not null").mapInArrow(count, schema)
-    out = np.zeros(2**RANGE_BITS, np.uint8)
+    out = np.zeros(2**bits, np.uint8)
     n = min(CHUNKS, partitions(sets.sparkSession))
     for row in summed.repartition(n, "chunk").mapInArrow(add, schema).collect():
         out[row.chunk * per : (row.chunk + 1) * per] = np.frombuffer(row.counts, np.uint8)
-    return out
+    return Lengths(out, bits)
 
 
 def sketch_levels(size: np.ndarray) -> np.ndarray:
     """How often the bits of the sketches of sets of these sizes are doubled."""
-    return np.ceil(np.log2(np.maximum(size * 2 / SKETCH_BITS, 1)) - 1e-9).astype(np.int64)
+    return np.ceil(np.log2(np.maximum(size * BITS_PER_ELEMENT / SKETCH_BITS, 1)) - 1e-9).astype(np.int64)
 
 
 def sketches(grams: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,51 +265,98 @@ def sketches(grams: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.packbits(parity).view(np.uint64), bits // 64
 
 
-def short_postings(sets: DataFrame, lengths: np.ndarray, threshold: float, parts: int) -> DataFrame:
-    """(part, blob): the postings of each set's short lists, packed by the partition of the shingle."""
-    known = sets.sparkSession.sparkContext.broadcast(lengths)
+@dataclass
+class Divided:
+    """Sets in the common order of their shingles: owner, gram and place of each element, and of each set
+    the number of its long lists and its pivot, the last element of its short lists in that order."""
+
+    owner: np.ndarray
+    gram: np.ndarray
+    place: np.ndarray
+    kind: np.ndarray
+    long: np.ndarray
+    pivot: np.ndarray
+
+
+def divide(grams: np.ndarray, size: np.ndarray, lengths: Lengths, threshold: float, mu: float = MU) -> Divided:
+    """Divides the lists of each set (``size`` elements each, one after another) in short and long ones."""
+    owner = np.repeat(np.arange(len(size)), size)
+    kind = lengths.of(grams).astype(np.int64)
+    order = np.lexsort((grams, kind, owner))
+    grams, kind = grams[order], kind[order]
+    begin = np.cumsum(size) - size
+    least = least_partner(size, threshold)
+    long = np.minimum(least - 1, np.floor(least / (1 + mu * kind[begin + size - 1] / 8)).astype(np.int64))
+    last = begin + size - long - 1
+    pivot = kind[last] << 8 * GRAM_BYTES | grams[last].astype(np.int64)
+    return Divided(owner, grams, np.arange(len(grams)) - np.repeat(begin, size), kind, long, pivot)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x.astype(np.uint64) * _A
+        return (x ^ x >> np.uint64(29)) * _B >> np.uint64(20)
+
+
+_GRAM = np.uint64(2 ** (8 * GRAM_BYTES) - 1)
+
+
+def short_postings(sets: DataFrame, lengths: Lengths, threshold: float, parts: int, hot: int = HOT) -> DataFrame:
+    """(part, blob): the postings of each set's short lists, packed by the partition of the list.
+
+    Those of a list that is split are sent to one cell for each group that their own group meets.
+    """
+    known = sets.sparkSession.sparkContext.broadcast(lengths.parts())
 
     def send(batches):
-        classes = known.value
+        lengths = Lengths(*known.value)
+        groups = lengths.groups(hot)
         for batch in batches:
             full = batch.filter(batch.column(1).is_valid())
             for lo in range(0, full.num_rows, 4000):
                 some = full.slice(lo, 4000)
                 sig = some.column(0).to_numpy().astype(np.int64)
-                grams, size = unpack_all(some.column(1).to_pylist())
                 if not len(sig):
                     continue
-                owner = np.repeat(np.arange(len(size)), size)
-                length = classes[(grams >> np.uint64(8 * GRAM_BYTES - RANGE_BITS)).astype(np.int64)]
-                order = np.lexsort((grams, length, owner))
-                place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
-                short = np.repeat(size - least_partner(size, threshold) + 1, size)
-                keep = place < short
-                gram, own, place = grams[order][keep], owner[keep], place[keep]
+                grams, size = unpack_all(some.column(1).to_pylist())
                 sketch, words = sketches(grams, size)
                 first_word = np.cumsum(words) - words
-                with np.errstate(over="ignore"):
-                    part = ((gram * _A >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+                d = divide(grams, size, lengths, threshold)
+                keep = d.place < (size - d.long)[d.owner]
+                own, place, key = d.owner[keep], np.minimum(d.place[keep], PLACES), d.gram[keep]
+                split = groups[d.kind[keep]]
+                side = np.zeros(len(own), np.uint8)
+                if (many := split > 1).any():
+                    n = split[many]
+                    group = (_spread(sig[own[many]]) % n.astype(np.uint64)).astype(np.int64)
+                    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    group = np.repeat(group, n)
+                    cell = (np.minimum(group, other) + 1) << 12 | np.maximum(group, other) + 1
+                    cold = ~many
+                    own = np.r_[own[cold], np.repeat(own[many], n)]
+                    place = np.r_[place[cold], np.repeat(place[many], n)]
+                    key = np.r_[key[cold], np.repeat(key[many], n) | cell.astype(np.uint64) << np.uint64(8 * GRAM_BYTES)]
+                    side = np.r_[side[cold], (group > other).astype(np.uint8)]
+                part = (_spread(key) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((own, part))
+                own, place, key, side, part = own[order], place[order], key[order], side[order], part[order]
+                ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1
                 out_part, out_blob = [], []
-                for p in range(parts):
-                    here = part == p
-                    if not here.any():
-                        continue
-                    sets_here, postings = np.unique(own[here], return_counts=True)
+                for a, b in zip(np.r_[0, ends[:-1]], ends):
+                    sets_here, postings = np.unique(own[a:b], return_counts=True)
                     own_words = words[sets_here]
                     at = np.repeat(first_word[sets_here] - np.cumsum(own_words) + own_words, own_words)
                     own_sketch = sketch[at + np.arange(len(at))]
-                    head = np.array([len(sets_here), int(here.sum()), len(own_sketch)], np.int64)
-                    out_part.append(p)
-                    out_blob.append(
-                        b"".join(
-                            x.tobytes()
-                            for x in (
-                                head, sig[sets_here], own_sketch, size[sets_here].astype(np.int32), postings.astype(np.int32),
-                                (gram[here] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(place[here], PLACES).astype(np.uint16),
-                            )
-                        )
-                    )
+                    in_cells = bool((key[a:b] > _GRAM).any())
+                    columns = [
+                        np.array([len(sets_here), b - a, len(own_sketch), in_cells], np.int64), sig[sets_here], own_sketch, d.pivot[sets_here],
+                        size[sets_here].astype(np.int32), d.long[sets_here].astype(np.int32), postings.astype(np.int32),
+                        (key[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key[a:b] >> np.uint64(32)).astype(np.uint32 if in_cells else np.uint8), place[a:b].astype(np.uint16),
+                    ]
+                    if in_cells:
+                        columns.append(side[a:b])
+                    out_part.append(int(part[a]))
+                    out_blob.append(b"".join(x.tobytes() for x in columns))
                 yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], ["part", "blob"])
 
     return sets.select("sig", "grams").where("grams is not null").mapInArrow(send, "part int, blob binary")
@@ -281,34 +366,42 @@ def short_postings(sets: DataFrame, lengths: np.ndarray, threshold: float, parts
 class Postings:
     """What one partition of the merge holds: of its sets, and of their postings in its lists.
 
-    sketch[level] has a row of words for each set of at least that level, row[level] its number.
+    A list is named by key: its shingle, and above it the cell of a list that is split. side says in
+    which group of the cell a set is. sketch[level] has a row of words for each set of at least that
+    level, row[level] its number.
     """
 
     sig: np.ndarray
     size: np.ndarray
+    long: np.ndarray
+    pivot: np.ndarray
     level: np.ndarray
     sketch: list[np.ndarray]
     row: list[np.ndarray]
-    gram: np.ndarray
+    key: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    side: np.ndarray
 
     @classmethod
     def read(cls, blobs: list[bytes]) -> Postings:
-        columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        columns: list[list[np.ndarray]] = [[] for _ in range(9)]
         base = 0
         for blob in blobs:
-            n, m, w = np.frombuffer(blob, np.int64, 3)
-            at, got = 24, []
-            for kind, count in ((np.int64, n), (np.uint64, w), (np.int32, n), (np.int32, n), (np.uint32, m), (np.uint16, m)):
+            n, m, w, in_cells = np.frombuffer(blob, np.int64, 4)
+            at, got = 32, []
+            kinds = ((np.int64, n), (np.uint64, w), (np.int64, n), (np.int32, n), (np.int32, n), (np.int32, n), (np.uint32, m), (np.uint32 if in_cells else np.uint8, m), (np.uint16, m))
+            for kind, count in (*kinds, *([(np.uint8, m)] if in_cells else [])):
                 got.append(np.frombuffer(blob, kind, count, at))
                 at += got[-1].nbytes
-            sig, sketch, size, postings, gram, place = got
+            sig, sketch, pivot, size, long, postings, low, high, place = got[:9]
+            key = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+            side = got[9] if in_cells else np.zeros(m, np.uint8)
             owner = np.repeat(np.arange(base, base + n), postings)
-            for column, x in zip(columns, (sig, sketch, size, gram, owner, place)):
+            for column, x in zip(columns, (sig, sketch, pivot, size, long, key, owner, place, side)):
                 column.append(x)
             base += n
-        sig, sketch, size, gram, owner, place = map(np.concatenate, columns)
+        sig, sketch, pivot, size, long, key, owner, place, side = map(np.concatenate, columns)
         # a class that several tasks sent counts once
         words = (SKETCH_BITS << sketch_levels(size)) // 64
         unique, first, inverse = np.unique(sig, return_index=True, return_inverse=True)
@@ -327,111 +420,209 @@ class Postings:
                 matrix[row[these]] = np.bitwise_xor.reduce(full.reshape(len(these), 1 << (j - k), matrix.shape[1]), axis=1)
             sketches.append(matrix)
             rows.append(row)
-        order = np.lexsort((owner, size[owner], gram))
-        gram, owner, place = gram[order], owner[order], place[order].astype(np.int64)
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-        return cls(unique, size, level, sketches, rows, gram[new], owner[new], place[new])
-
-
-def merge_short_lists(p: Postings, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in p.sig that meet in a short list and that no bound excludes.
-
-    Every list is walked in order of set size, all lists at once: in round d each posting meets the
-    one d places after it in its list, while that one isn't too large to be a partner.
+        order = np.lexsort((owner, size[owner], key))
+        key, owner, place, side = key[order], owner[order], place[order].astype(np.int64), side[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        return cls(unique, size, long[first].astype(np.int64), pivot[first], level, sketches, rows, key[new], owner[new], place[new], side[new])
+
+
+class Meetings:
+    """Counts the meetings of the pairs of sets that no bound excludes."""
+
+    def __init__(self, p: Postings, threshold: float):
+        self.p, self.slack = p, (1 - threshold) / (1 + threshold)
+        self.keys: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """One meeting of each x with each y, sets by their place in p."""
+        p = self.p
+        for lo in range(0, len(x), 100_000):
+            a, b = x[lo : lo + 100_000], y[lo : lo + 100_000]
+            for k, (matrix, row) in enumerate(zip(p.sketch, p.row)):
+                if k:  # both have a sketch of this level
+                    finer = (p.level[a] >= k) & (p.level[b] >= k)
+                    self._count(a[~finer], b[~finer])
+                    a, b = a[finer], b[finer]
+                most = self.slack * (p.size[a] + p.size[b]) + 1e-6
+                differ = np.zeros(len(a), np.int64)
+                for w in range(0, matrix.shape[1], 4):
+                    differ += np.bitwise_count(matrix[row[a], w : w + 4] ^ matrix[row[b], w : w + 4]).sum(axis=1, dtype=np.int64)
+                    fine = differ <= most
+                    a, b, most, differ = a[fine], b[fine], most[fine], differ[fine]
+            self._count(a, b)
+
+    def _count(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            keys, times = np.unique(np.minimum(a, b) * len(self.p.sig) + np.maximum(a, b), return_counts=True)
+            self.keys.append(keys)
+            self.times.append(times)
+            self.held += len(keys)
+            if self.held > PAIRS_HELD:
+                self.sum()
+                self.held = 0
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs and their meetings."""
+        if not self.keys:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, times = np.concatenate(self.keys), np.concatenate(self.times)
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        self.keys, self.times = [keys[first]], [np.add.reduceat(times, first)]
+        return self.keys[0] // len(self.p.sig), self.keys[0] % len(self.p.sig), self.times[0]
+
+
+def merge_short_lists(p: Postings, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places in p.sig that no bound excludes, and in how many lists of p they meet.
+
+    Every list is in order of set size, so a posting meets those after it up to the size of its
+    largest partner. All lists of up to AT_ONCE postings are walked at once: in round d each posting
+    meets the one d places after it. In longer lists each posting meets all of them in one step.
     """
-    slack, share = (1 - threshold) / (1 + threshold), threshold / (1 + threshold)
+    share = threshold / (1 + threshold)
     size = p.size[p.owner]
     most_size = size / threshold + 1e-6
-    # what an overlap needs, less what may follow the meeting: share * (n + m) <= n - place, and so for m
-    spare = size - p.place - share * size + 1e-6
-    need = share * size
-    alive = np.arange(len(p.gram))
-    found: list[np.ndarray] = []
-    held, d = 0, 0
-    while True:
+    need = share * size - 1e-6
+    shown = p.place < PLACES
+    before = np.where(shown, p.place, np.int64(2**40))
+    after = np.where(shown, size - p.place, np.int64(2**40))  # with the shingle itself
+    cross = (p.key >> np.uint64(8 * GRAM_BYTES) & np.uint64(0xFFF)) != (p.key >> np.uint64(8 * GRAM_BYTES + 12))
+    found = Meetings(p, threshold)
+
+    def met(a, b):
+        """Which postings a and b of a list may belong to similar sets."""
+        fine = np.minimum(before[a], before[b]) + np.minimum(after[a], after[b]) >= need[a] + need[b]
+        return fine & ((p.side[a] != p.side[b]) | ~cross[a])
+
+    ends = np.flatnonzero(np.r_[p.key[1:] != p.key[:-1], True]) + 1 if len(p.key) else np.empty(0, np.int64)
+    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    length = ends - starts
+    alive = np.flatnonzero(np.repeat(length <= AT_ONCE, length))
+    d = 0
+    while len(alive):
         d += 1
-        if len(alive) and alive[-1] + d >= len(p.gram):
-            alive = alive[: np.searchsorted(alive, len(p.gram) - d)]
-        if not len(alive):
-            break
+        alive = alive[: np.searchsorted(alive, len(p.key) - d)]
         other = alive + d
-        keep = (p.gram[alive] == p.gram[other]) & (size[other] <= most_size[alive])
+        keep = (p.key[alive] == p.key[other]) & (size[other] <= most_size[alive])
         alive, other = alive[keep], other[keep]
-        meet = (need[other] <= spare[alive]) & (need[alive] <= spare[other])
-        a, b = p.owner[alive[meet]], p.owner[other[meet]]
-        for lo in range(0, len(a), 100_000):
-            x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
-            for k, (matrix, row) in enumerate(zip(p.sketch, p.row)):
-                if k:  # both have a sketch of this level
-                    finer = (p.level[x] >= k) & (p.level[y] >= k)
-                    coarse_x, coarse_y = x[~finer], y[~finer]
-                    x, y = x[finer], y[finer]
-                    found.append(np.minimum(coarse_x, coarse_y) * len(p.sig) + np.maximum(coarse_x, coarse_y))
-                    held += len(coarse_x)
-                most = slack * (p.size[x] + p.size[y]) + 1e-6
-                differ = np.zeros(len(x), np.int64)
-                for w in range(0, matrix.shape[1], 4):
-                    differ += np.bitwise_count(matrix[row[x], w : w + 4] ^ matrix[row[y], w : w + 4]).sum(axis=1, dtype=np.int64)
-                    fine = differ <= most
-                    x, y, most, differ = x[fine], y[fine], most[fine], differ[fine]
-            found.append(np.minimum(x, y) * len(p.sig) + np.maximum(x, y))
-            held += len(x)
-        if held > PAIRS_HELD:
-            found = [np.unique(np.concatenate(found))]
-            held = 0
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return pairs // len(p.sig), pairs % len(p.sig)
-
-
-_PAIRS = "sig_a long, sig_b long, n_a int, n_b int"
+        fine = met(alive, other)
+        found.add(p.owner[alive[fine]], p.owner[other[fine]])
+    for a, b in zip(starts[length > AT_ONCE].tolist(), ends[length > AT_ONCE].tolist()):
+        upto = a + np.searchsorted(size[a:b], most_size[a:b], side="right")
+        left, right, held = [], [], 0
+        for k in range(a, b - 1):
+            other = np.arange(k + 1, upto[k - a])
+            other = other[met(np.array([k]), other)]
+            left.append(np.full(len(other), p.owner[k]))
+            right.append(p.owner[other])
+            held += len(other)
+            if held > 200_000 or k == b - 2:
+                found.add(np.concatenate(left), np.concatenate(right))
+                left, right, held = [], [], 0
+    return found.sum()
+
+
+_PAIRS = "sig_a long, sig_b long, n_a int, n_b int, short int, least int"
 
 
 def candidates(postings: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """Pairs of classes that meet in a short list and may be similar enough."""
+    """(sig_a, sig_b, n_a, n_b, short, least): pairs of classes that may be similar enough; a is the one whose
+    short lists end first, short the number of them that hold b, least the overlap that is needed."""
+    share = threshold / (1 + threshold)
 
     def merge(batches):
         blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
         if not blobs:
             return
         p = Postings.read(blobs)
-        a, b = merge_short_lists(p, threshold)
-        for lo in range(0, len(a), 50_000):
-            x, y = a[lo : lo + 50_000], b[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p.sig[x]), pa.array(p.sig[y]), pa.array(p.size[x].astype(np.int32)), pa.array(p.size[y].astype(np.int32))], ["sig_a", "sig_b", "n_a", "n_b"])
-
-    return postings.repartitionById(parts, F.col("part")).mapInArrow(merge, _PAIRS).distinct()
-
-
-def probe(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(sig_a, sig_b, similarity): exact overlaps, by binary search of one set in the other."""
+        x, y, times = merge_short_lists(p, threshold)
+        first = (p.pivot[x] < p.pivot[y]) | ((p.pivot[x] == p.pivot[y]) & (p.sig[x] < p.sig[y]))
+        x, y = np.where(first, x, y), np.where(first, y, x)
+        least = np.ceil(share * (p.size[x] + p.size[y]) - 1e-6)
+        for lo in range(0, len(x), 50_000):
+            a, b, own = x[lo : lo + 50_000], y[lo : lo + 50_000], slice(lo, lo + 50_000)
+            columns = (p.sig[a], p.sig[b], p.size[a].astype(np.int32), p.size[b].astype(np.int32), times[own].astype(np.int32), least[own].astype(np.int32), p.long[a].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig_a", "sig_b", "n_a", "n_b", "short", "least", "long"])
+
+    met = postings.repartitionById(parts, F.col("part")).mapInArrow(merge, _PAIRS + ", long int")
+    each = [F.first(c).alias(c) for c in ("n_a", "n_b")] + [F.sum("short").cast("int").alias("short")] + [F.first(c).alias(c) for c in ("least", "long")]
+    return met.groupBy("sig_a", "sig_b").agg(*each).where("short >= least - long").drop("long")
+
+
+def probe(pairs: DataFrame, sets: DataFrame, lengths: Lengths, threshold: float, parts: int) -> DataFrame:
+    """(sig_a, sig_b, similarity): the pairs that have the overlap which is needed.
+
+    The sets of the pairs are inverted by the partition of their sig, so that a long list, however
+    long, is held in pieces by all partitions. A probe is a pair with the long lists of its first
+    set; it goes to the partition of the second.
+    """
+    spark = sets.sparkSession
+    known = spark.sparkContext.broadcast(lengths.parts())
     needed = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
     held = (
         sets.select("sig", "grams").where("grams is not null").join(needed, "sig", "left_semi")
         .groupBy("sig").agg(F.first("grams").alias("grams"))
     )
-    joined = pairs.join(held.select(F.col("sig").alias("sig_a"), F.col("grams").alias("grams_a")), "sig_a").join(
-        held.select(F.col("sig").alias("sig_b"), F.col("grams").alias("grams_b")), "sig_b"
-    )
+    schema = "part int, sig_a long, sig_b long, short int, least int, n_both int, grams binary"
 
-    def overlap(batches):
+    def lists_of(batches):
+        """The long lists of the first set of each pair."""
+        lengths = Lengths(*known.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4000):
+                some = batch.slice(lo, 4000)
+                grams, size = unpack_all(some.column("grams").to_pylist())
+                d = divide(grams, size, lengths, threshold)
+                keep = d.place >= (size - d.long)[d.owner]
+                own, grams = d.owner[keep], d.gram[keep]
+                ends = np.searchsorted(own, np.arange(len(size) + 1))
+                blobs = [pack(grams[ends[k] : ends[k + 1]]) for k in range(len(size))]
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in ("part", "sig_a", "sig_b", "short", "least", "n_both")], pa.array(blobs, pa.binary())], schema=_PROBE)
+
+    part = lambda sig: F.pmod(F.xxhash64(sig), F.lit(parts)).cast("int").alias("part")
+    asked = pairs.join(held.withColumnRenamed("sig", "sig_a"), "sig_a").select(part("sig_b"), "sig_a", "sig_b", "short", "least", (F.col("n_a") + F.col("n_b")).alias("n_both"), "grams")
+    probes = asked.mapInArrow(lists_of, schema)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    lists = held.select(part("sig"), none("sig_a", "long"), F.col("sig").alias("sig_b"), none("short", "int"), none("least", "int"), none("n_both", "int"), "grams")
+
+    def search(batches):
+        listed, waiting = [], []
         for batch in batches:
-            rows = batch.to_pydict()
-            out: tuple[list, list, list] = ([], [], [])
-            for sa, sb, ga, gb in zip(rows["sig_a"], rows["sig_b"], rows["grams_a"], rows["grams_b"]):
-                x, y = unpack(ga), unpack(gb)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                alike = both / (len(x) + len(y) - both)
-                if alike >= threshold - 1e-12:
-                    for column, v in zip(out, (sa, sb, alike)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["sig_a", "sig_b", "similarity"])
-
-    return joined.select("sig_a", "sig_b", "grams_a", "grams_b").mapInArrow(overlap, "sig_a long, sig_b long, similarity double")
+            is_list = batch.column("sig_a").is_null()
+            listed.append(batch.filter(is_list))
+            waiting.append(batch.filter(batch.column("sig_a").is_valid()))
+        records = [(s, g) for b in listed for s, g in zip(b.column("sig_b").to_pylist(), b.column("grams").to_pylist())]
+        if not records:
+            return
+        records.sort(key=lambda r: r[0])
+        sig = np.array([s for s, _ in records], np.int64)
+        grams, size = unpack_all([g for _, g in records])
+        inverted, at = np.unique(grams, return_inverse=True)  # the lists of this partition
+        entries = np.sort(at << 32 | np.repeat(np.arange(len(sig)), size))  # each in order of its records
+        for batch in waiting:
+            for lo in range(0, batch.num_rows, 2000):
+                some = batch.slice(lo, 2000)
+                grams, size = unpack_all(some.column("grams").to_pylist())
+                record = np.searchsorted(sig, some.column("sig_b").to_numpy())
+                which = np.minimum(np.searchsorted(inverted, grams), len(inverted) - 1)
+                want = which << 32 | np.repeat(record, size)
+                spot = np.minimum(np.searchsorted(entries, want), len(entries) - 1)
+                hit = (inverted[which] == grams) & (entries[spot] == want)
+                total = np.r_[0, np.cumsum(hit)]
+                ends = np.cumsum(size)
+                both = some.column("short").to_numpy() + total[ends] - total[ends - size]
+                alike = both / (some.column("n_both").to_numpy() - both)
+                fine = pa.array((both >= some.column("least").to_numpy()) & (alike >= threshold - 1e-12))
+                yield pa.RecordBatch.from_arrays([some.column("sig_a").filter(fine), some.column("sig_b").filter(fine), pa.array(alike).filter(fine)], ["sig_a", "sig_b", "similarity"])
+
+    return probes.unionByName(lists).repartitionById(parts, F.col("part")).mapInArrow(search, "sig_a long, sig_b long, similarity double")
+
+
+_PROBE = pa.schema([("part", pa.int32()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("short", pa.int32()), ("least", pa.int32()), ("n_both", pa.int32()), ("grams", pa.binary())])
 
 
 @dataclass
@@ -444,24 +635,25 @@ class Links:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, width: int = 5, min_tokens: int = 5
+    df: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, width: int = 5, min_tokens: int = 5, hot: int = HOT
 ) -> Links:
     """Links between all texts whose shingle sets have at least ``threshold`` of their union in common.
 
     Null, empty and short texts (fewer than ``min_tokens`` tokens, or than one shingle) belong to no
     class. Rows delivered twice, and rows with a null id, count once and not at all. Further columns
-    of ``df``, whatever their names, are ignored. An empty table gives two empty tables.
+    of ``df``, whatever their names, are ignored. An empty table gives two empty tables. Lists of more
+    than ``hot`` postings are split.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    spark: SparkSession = df.sparkSession
-    parts = partitions(spark)
     sets = materialize(
         shingle_sets(df.where(F.col(id_col).isNotNull()), id_col, text_col, width, min_tokens), "shingle-sets"
     )
-    postings = short_postings(sets, list_lengths(sets), threshold, parts)
+    lengths = list_lengths(sets)
+    parts = max(partitions(df.sparkSession), math.ceil(lengths.postings() / PER_PARTITION))
+    postings = short_postings(sets, lengths, threshold, parts, hot)
     pairs = materialize(candidates(postings, threshold, parts), "near-duplicate-candidates")
-    links = materialize(probe(pairs, sets, threshold), "near-duplicate-links")
+    links = materialize(probe(pairs, sets, lengths, threshold, parts), "near-duplicate-links")
     return Links(sets.select("id", "sig").distinct(), links)
 
 
@@ -514,11 +706,20 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(_of_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-SQL = {
-    "p2_found": f"""
-WITH tk AS (SELECT DISTINCT doc_id, {tokens_sql("body")} AS t FROM docs WHERE doc_id IS NOT NULL),
+_SHINGLES_SQL = f"""
+tk AS (SELECT DISTINCT doc_id, {tokens_sql("body")} AS t FROM docs WHERE doc_id IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS g FROM (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM tk WHERE len(t) >= 20)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
-SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE 10 * k >= 6 * (x.n + y.n - k)""",
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+found AS (SELECT doc_a, doc_b, k = x.n AND k = y.n AS same FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE 10 * k >= 6 * (x.n + y.n - k))"""
+
+SQL = {
+    "p2_found": f"WITH {_SHINGLES_SQL} SELECT doc_a, doc_b FROM found",
+    "p2_groups": f"""WITH RECURSIVE {_SHINGLES_SQL},
+class AS (SELECT n.doc_id, coalesce(min(f.doc_a), n.doc_id) AS class_id FROM n LEFT JOIN found f ON f.same AND f.doc_b = n.doc_id GROUP BY n.doc_id),
+e AS (SELECT DISTINCT x.class_id AS src, y.class_id AS dst FROM found JOIN class x ON x.doc_id = doc_a JOIN class y ON y.doc_id = doc_b WHERE NOT same),
+both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+reached(node, other) AS (SELECT DISTINCT class_id, class_id FROM class UNION SELECT r.node, b.dst FROM reached r JOIN both_ways b ON b.src = r.other)
+SELECT c.doc_id, c.class_id, g.group_id, coalesce(l.n_links, 0) AS n_links FROM class c JOIN (SELECT node, min(other) AS group_id FROM reached GROUP BY node) g ON g.node = c.class_id
+LEFT JOIN (SELECT src, count(*) AS n_links FROM both_ways GROUP BY src) l ON l.src = c.class_id""",
 }

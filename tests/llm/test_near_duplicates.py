@@ -45,6 +45,60 @@ def test_pairs_are_those_of_brute_force(spark):
         assert set(got) == brute(rows, width, least, threshold)
 
 
+def test_split_lists_give_the_same_pairs(spark):
+    rows = collection(seed=11, n=50)
+    shared = " ".join(f"same{k}" for k in range(60))
+    rows += [(500 + i, f"{shared} own{i} tail{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    for hot in (3, 16):
+        got = [(r.doc_a, r.doc_b) for r in nd.linked_pairs(nd.near_duplicates(df, "id", "text", threshold=0.6, width=3, min_tokens=20, hot=hot)).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 20, 0.6)
+
+
+def blobs_of(spark, sets, lengths, threshold, parts, hot):
+    rows = [(k, nd.pack(s)) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "sig long, grams binary")
+    out = {}
+    for r in nd.short_postings(df, lengths, threshold, parts, hot).collect():
+        out.setdefault(r.part, []).append(r.blob)
+    return out
+
+
+def test_counts_of_short_lists_are_exact(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**40, 400).astype(np.uint64)
+    sets = [np.unique(rng.choice(base, rng.integers(40, 120))) for _ in range(60)]
+    sets += [np.unique(np.r_[s[5:], rng.integers(0, 2**40, 3).astype(np.uint64)]) for s in sets]
+    count = np.zeros(2**20, np.int64)
+    for s in sets:
+        np.add.at(count, (s >> np.uint64(20)).astype(np.int64), 1)
+    lengths = nd.Lengths(np.minimum(np.log2(count + 1.0) * 8, 255).astype(np.uint8), 20)
+    for hot in (4, 8192):
+        total = {}
+        for blobs in blobs_of(spark, sets, lengths, 0.6, 5, hot).values():
+            p = nd.Postings.read(blobs)
+            for a, b, n in zip(*nd.merge_short_lists(p, 0.6)):
+                key = (int(p.sig[a]), int(p.sig[b]))
+                total[key] = total.get(key, 0) + int(n)
+        size = np.array([len(s) for s in sets])
+        d = nd.divide(np.concatenate(sets), size, lengths, 0.6)
+        short = [set(d.gram[(d.owner == k) & (d.place < size[k] - d.long[k])].tolist()) for k in range(len(sets))]
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                if len(x & y) >= 0.6 * len(x | y):
+                    first, other = (a, y) if d.pivot[a] <= d.pivot[b] else (b, x)
+                    assert total[a, b] == len(short[first] & other)
+                    assert len(x & y) - total[a, b] <= d.long[first]
+
+
+def test_hyphened_words_make_enough_tokens(spark):
+    text = "-".join(f"w{k}" for k in range(3)) + " " + " ".join("".join(f"v{k}x{j}--" for k in range(30)) for j in range(2))
+    rows = [(1, text), (2, text + " more")]
+    got = nd.linked_pairs(nd.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", threshold=0.6, width=3, min_tokens=60)).collect()
+    assert {(r.doc_a, r.doc_b) for r in got} == brute(rows, 3, 60, 0.6) == {(1, 2)}
+
+
 def test_long_texts_have_longer_sketches(spark):
     rng = random.Random(5)
     base = [rng.choice(WORDS) + str(rng.randint(0, 400)) for _ in range(3000)]
