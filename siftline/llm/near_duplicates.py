@@ -55,16 +55,17 @@ from siftline.storage import materialize, partitions, table
 #: as there are texts, between these bounds.
 GRAM_BYTES, LEAST_BITS, MOST_BITS, CHUNKS = 5, 20, 24, 64
 #: How much the length of the longest list counts against setting lists aside.
-MU = 0.0085
+MU = 0.004
 #: Bits of the sketch that bounds the overlap of two sets, for sets of up to 1 / 1.5 as many elements;
 #: the bits double with the size of the set.
-SKETCH_BITS, BITS_PER_ELEMENT = 256, 1.5
+SKETCH_BITS, BITS_PER_ELEMENT = 384, 1.5
 #: Places of shingles are sent up to this one; a later place bounds nothing, which loses no pair.
 PLACES = 65535
 #: Postings beyond which a list is split, and groups that it is split into at most.
 HOT, MOST_GROUPS = 8192, 4095
-#: Lists of up to so many postings are merged all at once, longer ones posting by posting.
-AT_ONCE = 400
+#: Lists of up to so many postings are merged together with those of the same length, longer ones in blocks
+#: of so many postings.
+AT_ONCE = 64
 #: Postings that a partition of the merge holds on average at most.
 PER_PARTITION = 4_000_000
 #: A task forgets the hashes of words, and the classes it has sent, beyond so many.
@@ -260,7 +261,7 @@ def sketches(grams: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin = np.cumsum(bits) - bits
     with np.errstate(over="ignore"):
         spread = (grams * _C >> np.uint64(32)).astype(np.int64)
-    bit = np.repeat(begin, size) + (spread & np.repeat(bits - 1, size))
+    bit = np.repeat(begin, size) + spread % np.repeat(bits, size)
     parity = (np.bincount(bit, minlength=int(bits.sum())) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.uint64), bits // 64
 
@@ -431,27 +432,30 @@ class Meetings:
     """Counts the meetings of the pairs of sets that no bound excludes."""
 
     def __init__(self, p: Postings, threshold: float):
-        self.p, self.slack = p, (1 - threshold) / (1 + threshold)
+        self.p, self.slack, self.share = p, (1 - threshold) / (1 + threshold), threshold / (1 + threshold)
+        self.cross = p.key >> np.uint64(8 * GRAM_BYTES + 12) != p.key >> np.uint64(8 * GRAM_BYTES) & np.uint64(0xFFF)
         self.keys: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, x: np.ndarray, y: np.ndarray) -> None:
-        """One meeting of each x with each y, sets by their place in p."""
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Meetings of the postings i with the postings j, which the first level of the sketches didn't end."""
         p = self.p
-        for lo in range(0, len(x), 100_000):
-            a, b = x[lo : lo + 100_000], y[lo : lo + 100_000]
-            for k, (matrix, row) in enumerate(zip(p.sketch, p.row)):
-                if k:  # both have a sketch of this level
-                    finer = (p.level[a] >= k) & (p.level[b] >= k)
-                    self._count(a[~finer], b[~finer])
-                    a, b = a[finer], b[finer]
-                most = self.slack * (p.size[a] + p.size[b]) + 1e-6
-                differ = np.zeros(len(a), np.int64)
-                for w in range(0, matrix.shape[1], 4):
-                    differ += np.bitwise_count(matrix[row[a], w : w + 4] ^ matrix[row[b], w : w + 4]).sum(axis=1, dtype=np.int64)
-                    fine = differ <= most
-                    a, b, most, differ = a[fine], b[fine], most[fine], differ[fine]
+        for lo in range(0, len(i), 100_000):
+            x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+            a, b = p.owner[x], p.owner[y]
+            most = np.minimum(p.place[x], p.place[y]) + np.minimum(p.size[a] - p.place[x], p.size[b] - p.place[y])
+            shown = (p.place[x] < PLACES) & (p.place[y] < PLACES)
+            fine = (~shown | (most >= self.share * (p.size[a] + p.size[b]) - 1e-6)) & ((p.side[x] != p.side[y]) | ~self.cross[x])
+            a, b = a[fine], b[fine]
+            for k in range(1, len(p.sketch)):  # both have a sketch of this level
+                finer = (p.level[a] >= k) & (p.level[b] >= k)
+                self._count(a[~finer], b[~finer])
+                a, b = a[finer], b[finer]
+                matrix, row = p.sketch[k], p.row[k]
+                differ = np.bitwise_count(matrix[row[a]] ^ matrix[row[b]]).sum(axis=1, dtype=np.int64)
+                fine = differ <= self.slack * (p.size[a] + p.size[b]) + 1e-6
+                a, b = a[fine], b[fine]
             self._count(a, b)
 
     def _count(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -479,50 +483,69 @@ class Meetings:
 def merge_short_lists(p: Postings, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of places in p.sig that no bound excludes, and in how many lists of p they meet.
 
-    Every list is in order of set size, so a posting meets those after it up to the size of its
-    largest partner. All lists of up to AT_ONCE postings are walked at once: in round d each posting
-    meets the one d places after it. In longer lists each posting meets all of them in one step.
+    Every list is in order of set size. All lists of one length up to AT_ONCE are stacked, and in round
+    d each posting meets the one d places after it. In longer lists blocks of postings meet all that
+    follow, up to the size of their largest partner. Sizes and the first level of the sketches are
+    compared for all that meet, the other bounds for what is left.
     """
-    share = threshold / (1 + threshold)
-    size = p.size[p.owner]
-    most_size = size / threshold + 1e-6
-    need = share * size - 1e-6
-    shown = p.place < PLACES
-    before = np.where(shown, p.place, np.int64(2**40))
-    after = np.where(shown, size - p.place, np.int64(2**40))  # with the shingle itself
-    cross = (p.key >> np.uint64(8 * GRAM_BYTES) & np.uint64(0xFFF)) != (p.key >> np.uint64(8 * GRAM_BYTES + 12))
     found = Meetings(p, threshold)
-
-    def met(a, b):
-        """Which postings a and b of a list may belong to similar sets."""
-        fine = np.minimum(before[a], before[b]) + np.minimum(after[a], after[b]) >= need[a] + need[b]
-        return fine & ((p.side[a] != p.side[b]) | ~cross[a])
-
-    ends = np.flatnonzero(np.r_[p.key[1:] != p.key[:-1], True]) + 1 if len(p.key) else np.empty(0, np.int64)
-    starts = np.r_[0, ends[:-1]] if len(ends) else ends
+    if not len(p.key):
+        return found.sum()
+    slack = (found.slack * p.size + 1e-6).astype(np.float32)
+    most = p.size / threshold + 1e-6
+    first_row = p.row[0]
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    held = 0
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal held
+        left.append(i)
+        right.append(j)
+        held += len(i)
+        if held > 200_000:
+            flush()
+
+    def flush() -> None:
+        nonlocal held
+        if left:
+            found.add(np.concatenate(left), np.concatenate(right))
+        left.clear()
+        right.clear()
+        held = 0
+
+    ends = np.flatnonzero(np.r_[p.key[1:] != p.key[:-1], True]) + 1
+    starts = np.r_[0, ends[:-1]]
     length = ends - starts
-    alive = np.flatnonzero(np.repeat(length <= AT_ONCE, length))
-    d = 0
-    while len(alive):
-        d += 1
-        alive = alive[: np.searchsorted(alive, len(p.key) - d)]
-        other = alive + d
-        keep = (p.key[alive] == p.key[other]) & (size[other] <= most_size[alive])
-        alive, other = alive[keep], other[keep]
-        fine = met(alive, other)
-        found.add(p.owner[alive[fine]], p.owner[other[fine]])
+    for n in range(2, min(AT_ONCE, int(length.max())) + 1):
+        own = starts[length == n]
+        for lo in range(0, len(own), max(1, 16384 // n)):
+            at = own[lo : lo + max(1, 16384 // n), None] + np.arange(n)
+            sets = p.owner[at]
+            words = np.ascontiguousarray(p.sketch[0][first_row[sets]].transpose(2, 0, 1))
+            size, upto, loose = p.size[sets], most[sets], slack[sets]
+            for d in range(1, n):
+                differ = np.bitwise_count(words[:, :, :-d] ^ words[:, :, d:]).sum(axis=0, dtype=np.uint16)
+                g, k = np.nonzero((differ <= loose[:, :-d] + loose[:, d:]) & (size[:, d:] <= upto[:, :-d]))
+                if len(g):
+                    keep(at[g, k], at[g, k + d])
     for a, b in zip(starts[length > AT_ONCE].tolist(), ends[length > AT_ONCE].tolist()):
-        upto = a + np.searchsorted(size[a:b], most_size[a:b], side="right")
-        left, right, held = [], [], 0
-        for k in range(a, b - 1):
-            other = np.arange(k + 1, upto[k - a])
-            other = other[met(np.array([k]), other)]
-            left.append(np.full(len(other), p.owner[k]))
-            right.append(p.owner[other])
-            held += len(other)
-            if held > 200_000 or k == b - 2:
-                found.add(np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
+        sets = p.owner[a:b]
+        words = np.ascontiguousarray(p.sketch[0][first_row[sets]].T)
+        size, loose = p.size[sets], slack[sets]
+        last = np.searchsorted(size, most[sets], side="right")
+        for lo in range(0, b - a, AT_ONCE):
+            hi = min(lo + AT_ONCE, b - a)
+            for c in range(lo, int(last[hi - 1]), 4096):
+                e = min(c + 4096, int(last[hi - 1]))
+                differ = np.zeros((hi - lo, e - c), np.uint16)
+                for w in words:
+                    differ += np.bitwise_count(w[lo:hi, None] ^ w[None, c:e])
+                rows, columns = np.nonzero(differ <= loose[lo:hi, None] + loose[None, c:e])
+                i, j = rows + lo, columns + c
+                fine = (j > i) & (j < last[i])
+                keep(i[fine] + a, j[fine] + a)
+    flush()
     return found.sum()
 
 
