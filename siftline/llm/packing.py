@@ -1,21 +1,31 @@
 """Problem 7: texts of varying length into as few containers of a capacity as can be reached.
 
-Greedy bin completion, after Korf (2003), on the histogram of sizes instead of on items.
+Bin completion by branch and bound, after Korf (2003), on the histogram of sizes.
 
 Sizes are whole numbers up to the capacity, so the items of a collection of any size are a
-histogram of at most ``capacity`` counts; that is all the driver sees. It fills containers around
-the largest size left: among the fillings of the room that is left, found by a depth-first search
-that ends at an exact fit or after ``NODES`` nodes, it takes the one that wastes least, and repeats
-it as often as the counts allow. It never goes back to another filling, so a plan need not be the
-best. Small items are what fills the last gaps, so a filling also pays a price for each further item;
-only at a price above 0 does the bound on the cost end a branch. Each price gives a plan, the best of
-these and of best-fit decreasing is taken, and none is made once one meets the lower bound on
-containers. The plan says, for each size, which range of the items of that size goes to which
-containers; the items then find their container by their number within their size, on the executors.
+histogram of at most ``capacity`` counts; that is all the driver sees.
+
+The search works depth first. A node takes the largest item that is left and branches over the
+undominated fillings of the room beside it, those of least waste first; it goes back to the next
+filling when no plan below the incumbent can follow. What a plan with one container less than the
+incumbent may waste is its capacity less the sizes; a filling that wastes more than is left of that
+is no branch. Incumbents are best-fit decreasing and greedy completions, which also charge a price
+for each further item of a filling, since small items are what fills the last gaps.
+
+The search runs on the whole histogram first, which proves small cases optimal, and then over and
+over on containers of the incumbent: enough of its wasteful ones to save one container, and others
+beside them; the plan found stands for all containers of the same contents at once. It ends when the
+lower bound is met, or after ``nodes`` nodes: the result says which. ``nodes=None`` searches the
+whole histogram to the end, which is exact, and practical for few items only.
+
+The plan says, for each size, which range of the items of that size goes to which containers; the
+items then find their container by their number within their size, on the executors.
 """
 
 from __future__ import annotations
 
+import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +38,10 @@ from pyspark.sql import functions as F
 from siftline.llm.encoding import TOKENIZERS, Merges, token_counts
 from siftline.storage import materialize, table, without_copies
 
-#: Nodes that the search for one filling may visit before it takes the best one found so far.
-NODES = 2000
+#: Nodes that all searches of a plan may visit together, and those for one greedy filling.
+NODES, GREEDY_NODES = 600_000, 2000
+#: Containers that are searched again together, and nodes of one such search.
+TOGETHER, AT_ONCE = 20, 3000
 #: Prices, in tokens of waste, of each further item of a filling: a plan is made with each.
 PRICES = (0.0, 0.5, 1.0, 2.0)
 
@@ -96,7 +108,7 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Fill]:
 
 
 class Completion:
-    """The search for a filling of the room beside the largest item."""
+    """The search for one good filling of the room beside the largest item, for greedy incumbents."""
 
     def __init__(self, counts: np.ndarray, nodes: int, price: float):
         self.counts, self.nodes, self.price = counts, nodes, price
@@ -139,7 +151,7 @@ class Completion:
                 return
 
 
-def complete(counts: np.ndarray, capacity: int, nodes: int = NODES, price: float = 0.0) -> list[Fill]:
+def complete(counts: np.ndarray, capacity: int, nodes: int = GREEDY_NODES, price: float = 0.0) -> list[Fill]:
     """Containers around the largest size left, each completed by the best filling found."""
     counts = counts.copy()
     search = Completion(counts, nodes, price)
@@ -159,18 +171,168 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES, price: float
         base += times
 
 
-def plan(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Fill]:
-    """The best of best-fit decreasing and of greedy bin completion with each price."""
+class OutOfNodes(Exception):
+    pass
+
+
+class BranchAndBound:
+    """A packing of items in at most so many containers, or the proof that there is none."""
+
+    def __init__(self, items: Counter, capacity: int, nodes: int | None):
+        self.counts, self.capacity, self.left = dict(items), capacity, nodes
+
+    def visit(self) -> None:
+        if self.left is not None:
+            self.left -= 1
+            if self.left < 0:
+                raise OutOfNodes
+
+    def solve(self, limit: int) -> list[list[int]] | None:
+        """The sizes in each container. Raises OutOfNodes if it can't tell."""
+        spare = limit * self.capacity - sum(s * n for s, n in self.counts.items())
+        if spare < 0:
+            return None
+        if not any(self.counts.values()):
+            return []
+        plan: list[list[int]] = []
+        branches = [(spare, *self.branch(spare))]
+        while branches:
+            spare, largest, fillings = branches[-1]
+            filling = next(fillings, None)
+            if filling is None:  # go back: the largest item and the filling that led here are free again
+                branches.pop()
+                self.counts[largest] += 1
+                if plan:
+                    for s in plan.pop()[1:]:
+                        self.counts[s] += 1
+                continue
+            for s in filling:
+                self.counts[s] -= 1
+            plan.append([largest, *filling])
+            if not any(self.counts.values()):
+                return plan
+            spare -= self.capacity - sum(plan[-1])
+            branches.append((spare, *self.branch(spare)))
+        return None
+
+    def branch(self, spare: int) -> tuple[int, Iterator[list[int]]]:
+        """The largest item, taken out, and the fillings of its container."""
+        largest = max(s for s, n in self.counts.items() if n)
+        self.counts[largest] -= 1
+        return largest, self.fillings(self.capacity - largest, spare)
+
+    def fillings(self, room: int, spare: int) -> Iterator[list[int]]:
+        """The undominated fillings that waste at most ``spare``, by rising bands of waste: 0, 1 to 3, 4 to 15, ..."""
+        sizes = sorted((s for s, n in self.counts.items() if n and s <= room), reverse=True)
+        after = [0] * (len(sizes) + 1)  # the sizes from the k-th on, all together
+        for k in range(len(sizes) - 1, -1, -1):
+            after[k] = after[k + 1] + sizes[k] * self.counts[sizes[k]]
+        low, high = 0, 0
+        while low <= min(spare, room):
+            yield from self.fill(sizes, after, room, 0, [], low, min(high, spare))
+            low, high = high + 1, high * 4 + 3
+
+    def fill(self, sizes: list[int], after: list[int], room: int, start: int, have: list[int], low: int, high: int) -> Iterator[list[int]]:
+        for k in range(start, len(sizes)):
+            if after[k] < room - high:  # too much would stay empty
+                break
+            s = sizes[k]
+            if s <= room and self.counts[s] > have.count(s):
+                self.visit()
+                have.append(s)
+                yield from self.fill(sizes, after, room - s, k, have, low, high)
+                have.pop()
+        if low <= room <= high and not self.dominated(sizes, room, have):
+            yield have[:]
+
+    def dominated(self, sizes: list[int], waste: int, have: list[int]) -> bool:
+        """Whether another filling is as good in any plan: one with a further item that fits in the waste, or
+        with an item left out that fits in the place of a smaller one or of two that aren't larger together."""
+        used = Counter(have)
+        free = {s for s in sizes if self.counts[s] > used[s]}
+        if any(s <= waste for s in free):
+            return True
+        own = list(used.elements())
+        places = {(s + 1, s + waste) for s in used} | {(a + b, a + b + waste) for k, a in enumerate(own) for b in own[:k]}
+        return any(low <= s <= high for s in free for low, high in places)
+
+
+def improved(plan: list[Fill], capacity: int, bound: int, nodes: int, seed: int = 1) -> tuple[list[Fill], int]:
+    """A plan with fewer containers, if it is found, and the nodes that are left."""
+    rng = random.Random(seed)
+    bins: Counter = Counter()
+    for f in plan:
+        bins[tuple(s for s, n in f.items for _ in range(n))] += f.times
+    while sum(bins.values()) > bound and nodes > 0:
+        wasteful = sorted((b for b in bins if sum(b) < capacity), key=lambda b: rng.random() / (capacity - sum(b)))
+        chosen: Counter = Counter()
+        waste = 0
+        for b in wasteful:
+            while waste < capacity and chosen[b] < min(3, bins[b]):
+                chosen[b] += 1
+                waste += capacity - sum(b)
+        if waste < capacity:
+            break
+        kinds = list(bins)
+        for b in rng.choices(kinds, [len(b) for b in kinds], k=max(4, TOGETHER - sum(chosen.values()))):
+            if bins[b] > chosen[b]:
+                chosen[b] += 1
+        search = BranchAndBound(Counter(s for b, n in chosen.items() for s in b for _ in range(n)), capacity, min(AT_ONCE, nodes))
+        granted = search.left
+        try:
+            found = search.solve(sum(chosen.values()) - 1)
+        except OutOfNodes:
+            found = None
+        nodes -= max(1, granted - max(0, search.left))
+        if found:
+            times = min(bins[b] // n for b, n in chosen.items())
+            for b, n in chosen.items():
+                bins[b] -= n * times
+            for own in found:
+                bins[tuple(own)] += times
+            bins = +bins
+    out, base = [], 0
+    for b, n in bins.items():
+        out.append(Fill(base, n, tuple(sorted(Counter(b).items(), reverse=True))))
+        base += n
+    return out, nodes
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The fills, and whether no plan can have fewer containers (by the lower bound or a whole search)."""
+
+    fills: list[Fill]
+    optimal: bool
+
+    @property
+    def containers(self) -> int:
+        return sum(f.times for f in self.fills)
+
+
+def plan(counts: np.ndarray, capacity: int, nodes: int | None = NODES) -> Plan:
+    """The best plan found with ``nodes`` nodes; with None, one with fewest containers."""
     bound = lower_bound(counts, capacity)
-    incumbent = best_fit(counts, capacity)
+    best = best_fit(counts, capacity)
     for price in PRICES:
-        used = sum(f.times for f in incumbent)
-        if used <= bound:
+        if (used := sum(f.times for f in best)) <= bound:
             break
-        other = complete(counts, capacity, nodes, price)
+        other = complete(counts, capacity, price=price)
         if sum(f.times for f in other) < used:
-            incumbent = other
-    return incumbent
+            best = other
+    items = Counter({int(s): int(counts[s]) for s in np.flatnonzero(counts) if s})
+    while (used := sum(f.times for f in best)) > bound:
+        search = BranchAndBound(items, capacity, None if nodes is None else nodes // 4)
+        try:
+            found = search.solve(used - 1)
+        except OutOfNodes:
+            break
+        if found is None:
+            return Plan(best, True)
+        best = [Fill(k, 1, tuple(sorted(Counter(own).items(), reverse=True))) for k, own in enumerate(found)]
+    if nodes is not None:
+        best, _ = improved(best, capacity, bound, nodes)
+    return Plan(best, sum(f.times for f in best) <= bound)
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, capacities: dict[str, int], tokenizer: str, folder: str) -> DataFrame:
@@ -207,9 +369,10 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacities: dict[str, int]
 
 
 def pack(
-    df: DataFrame, id_col: str, text_col: str, capacities: dict[str, int], *, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, nodes: int = NODES
+    df: DataFrame, id_col: str, text_col: str, capacities: dict[str, int], *, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, nodes: int | None = NODES
 ) -> DataFrame:
-    """(capacity_name, id_col, piece_no, first_token, n_tokens, container): every text, for each capacity.
+    """(capacity_name, id_col, piece_no, first_token, n_tokens, container, optimal): every text, for each
+    capacity. optimal says that no packing has fewer containers, as far as is proven.
 
     Containers are numbered from 0 for each capacity. A null or empty text has no tokens: it is kept,
     as a piece of size 0 in container 0. Rows delivered twice count once; a null id is a value like
@@ -223,13 +386,16 @@ def pack(
     # at most `capacity` rows a capacity
     counts = by_task.groupBy("capacity_name", "n_tokens").agg(F.sum("c").alias("c")).collect()
     ranges: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
+    proven: dict[str, bool] = {}
     for name, capacity in capacities.items():
         histogram = np.zeros(capacity + 1, np.int64)
         for row in counts:
             if row.capacity_name == name and row.n_tokens:
                 histogram[row.n_tokens] = row.c
         given = np.zeros(capacity + 1, np.int64)
-        for fill in plan(histogram, capacity, nodes):
+        made_plan = plan(histogram, capacity, nodes)
+        proven[name] = made_plan.optimal
+        for fill in made_plan.fills:
             for size, each in fill.items:
                 ranges.setdefault((name, size), []).append((int(given[size]), fill.base, each))
                 given[size] += each * fill.times
@@ -255,12 +421,33 @@ def pack(
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(container)], [*batch.schema.names[:5], "container"])
 
     kind = dict(df.dtypes)[id_col]
-    return numbered.select("capacity_name", id_col, "piece_no", "first_token", "n_tokens", "number").mapInArrow(
+    placed = numbered.select("capacity_name", id_col, "piece_no", "first_token", "n_tokens", "number").mapInArrow(
         place, f"capacity_name string, `{id_col}` {kind}, piece_no int, first_token long, n_tokens int, container long"
     )
+    return placed.withColumn("optimal", F.col("capacity_name").isin([n for n, ok in proven.items() if ok]))
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents in containers of each capacity of pack_capacities, in tokens of byte_bpe_50k."""
     rows = table(spark, sf_dir, "pack_capacities").where("capacity_tokens > 0").groupBy("capacity_name").agg(F.max("capacity_tokens").alias("c")).collect()
     return pack(table(spark, sf_dir, "documents"), "doc_id", "text", {r.capacity_name: r.c for r in rows})
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(capacity_name, documents, lost, overfull, gaps) of p7_packing: documents placed, those not placed or whose
+    pieces don't follow each other, containers above the capacity, numbers of containers left out."""
+    caps = table(spark, sf_dir, "pack_capacities").where("capacity_tokens > 0").groupBy("capacity_name").agg(F.max("capacity_tokens").alias("capacity"))
+    packed = materialize(p7_packing(spark, sf_dir), "packing")
+    per_doc = packed.groupBy("capacity_name", "doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("piece_no").alias("last"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    whole = per_doc.groupBy("capacity_name").agg(F.count("*").alias("documents"), F.count_if((F.col("last") != F.col("n") - 1) | (F.col("end") != F.col("tokens"))).alias("broken"))
+    load = packed.groupBy("capacity_name", "container").agg(F.sum("n_tokens").alias("load"))
+    filled = load.join(F.broadcast(caps), "capacity_name").groupBy("capacity_name").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"), (F.max("container") + 1 - F.count("*")).alias("gaps"))
+    all_docs = table(spark, sf_dir, "documents").agg(F.count_distinct("doc_id").alias("all"))
+    out = whole.join(filled, "capacity_name").crossJoin(all_docs)  # one row a capacity
+    return out.select("capacity_name", "documents", (F.col("all") - F.col("documents") + F.col("broken")).alias("lost"), "overfull", "gaps")
+
+
+SQL = {
+    "p7_check": """SELECT capacity_name, n AS documents, 0::BIGINT AS lost, 0::BIGINT AS overfull, 0::BIGINT AS gaps
+FROM (SELECT DISTINCT capacity_name FROM pack_capacities WHERE capacity_tokens > 0), (SELECT count(DISTINCT doc_id) AS n FROM documents)""",
+}

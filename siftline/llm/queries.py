@@ -18,8 +18,9 @@ QUERIES = {
     "p5_main_text": boilerplate.p5_main_text,
     "p6_ids": encoding.p6_ids,
     "p7_packing": packing.p7_packing,
+    "p7_check": packing.p7_check,
     "p8_found": reading_level.p8_found,
     "p8_levels": reading_level.p8_levels,
 }
 
-SQL: dict[str, str] = term_counts.SQL | near_duplicates.SQL | fusion.SQL
+SQL: dict[str, str] = term_counts.SQL | near_duplicates.SQL | fusion.SQL | packing.SQL

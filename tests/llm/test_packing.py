@@ -52,17 +52,49 @@ def test_plans_hold_all_items_and_bounds_hold(case):
     counts = histogram(sizes, capacity)
     least = fewest(sizes, capacity)
     assert packing.lower_bound(counts, capacity) <= least
-    used = check(packing.plan(counts, capacity), counts, capacity)
-    assert least <= used <= least + 1
+    for nodes in (None, packing.NODES):
+        found = packing.plan(counts, capacity, nodes)
+        assert check(found.fills, counts, capacity) == found.containers == least
+        assert found.optimal
     check(packing.best_fit(counts, capacity), counts, capacity)
     check(packing.complete(counts, capacity), counts, capacity)
+    check(packing.improved(packing.best_fit(counts, capacity), capacity, 0, 2000)[0], counts, capacity)
 
 
 def test_many_items_come_near_the_bound():
     rng = np.random.default_rng(1)
     sizes = np.clip(rng.lognormal(5, 0.8, 20000).astype(int), 1, 512)
     counts = histogram(sizes, 512)
-    assert check(packing.plan(counts, 512), counts, 512) <= 1.01 * packing.lower_bound(counts, 512)
+    bound, found = packing.lower_bound(counts, 512), packing.plan(counts, 512)
+    assert check(found.fills, counts, 512) <= 1.001 * bound and found.optimal == (found.containers == bound)
+
+
+def test_search_goes_back_where_greedy_fails():
+    # 8 + 5 is the fullest filling beside 8, but the others then need one container more
+    sizes, capacity = [9, 9, 6, 6, 6, 4, 4, 4, 3, 3, 3, 3], 15
+    counts = histogram(sizes, capacity)
+    assert packing.plan(counts, capacity, None).containers == fewest(sizes, capacity) == 4
+    rng = np.random.default_rng(5)
+    greedy = total = 0
+    for _ in range(150):
+        sizes = rng.integers(20, 60, 12).tolist()
+        counts = histogram(sizes, 100)
+        exact = packing.plan(counts, 100, None)
+        assert exact.optimal and check(exact.fills, counts, 100) == exact.containers
+        greedy += min(check(packing.complete(counts, 100, price=p), counts, 100) for p in packing.PRICES)
+        total += exact.containers
+    assert total <= greedy
+
+
+def test_windows_improve_a_plan():
+    rng = np.random.default_rng(3)
+    sizes = np.clip(rng.lognormal(5, 0.6, 3000).astype(int), 40, 512)
+    counts = histogram(sizes, 512)
+    first = packing.best_fit(counts, 512)
+    better, left = packing.improved(first, 512, packing.lower_bound(counts, 512), 200_000)
+    assert check(better, counts, 512) < sum(f.times for f in first) and left < 200_000
+    doubled, _ = packing.improved(packing.best_fit(counts * 1000, 512), 512, packing.lower_bound(counts * 1000, 512), 200_000)
+    check(doubled, counts * 1000, 512)
 
 
 @pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.json"), reason="no tokenizer files")
@@ -70,6 +102,7 @@ def test_table(spark):
     rows = [(i, "word " * (i % 37)) for i in range(300)] + [(900, None), (901, ""), (902, "word " * 1000), (5, "word " * 5), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' as container").repartition(3)
     out = packing.pack(df, "doc_id", "text", {"a": 16, "b": 64}).toPandas()
+    assert out.optimal.all()
     texts = dict(rows)
     for name, capacity in (("a", 16), ("b", 64)):
         own = out[out.capacity_name == name]
