@@ -2,18 +2,23 @@
 
 The rank-frequency curve of a page: its words by falling frequency, log frequency against log rank.
 Windows over each page's counts give the ranks, sums over them the slope of the fitted line and the
-spread around it. A third measure is the divergence from prose: the share of word pairs that
-same-language prose doesn't know, apart from the page's best sentence, since one real sentence may
-stand among keywords. Each measure is compared with that of pages with prose, of the same language
-and about the same length; so is the repetition among the anchors of the links that leave a page. A
-page that is extreme in any measure is a suspect, and a suspect is a case if it has at most one
-real sentence and, besides, words enough that are no sentence.
+residual spread around it. A third measure is the divergence from same-language prose of about the
+same length: the Kullback-Leibler divergence of how often the page has each kind of word pair (known to
+prose with content words, with function words only, unknown beside a function word, ...) from how
+often prose of the language and length has it. Each measure, and the repetition among the anchors of
+the links that leave a page, is compared with that of pages with prose, of the same language and
+length; so far as there are few of those, with all. A page that is extreme in slope, residual or
+divergence, or in its anchors, is a suspect. An exact check follows: a suspect is a case if it has at
+most one real sentence and, besides, words enough that are no sentence.
+
+Pages in languages without samples are compared by their curves, and their sentences are told by shape.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,40 +29,35 @@ from siftline.llm import prose
 from siftline.storage import materialize, table, without_copies
 
 #: Deviations from prose, in robust standard deviations, at which a page is a suspect.
-SLOPE_Z, SPREAD_Z, DIVERGENCE_Z, ANCHOR_Z = 3.0, 3.0, 1.0, 4.0
+SLOPE_Z, SPREAD_Z, DIVERGENCE_Z, ANCHOR_Z = 5.0, 5.0, 10.0, 10.0
 #: Pages with so many real sentences are prose: what the others are compared with.
 PROSE_SENTENCES = 3
 #: Real sentences that a case may have, and words besides them that it must have.
 MOST_SENTENCES, LEAST_KEYWORDS = 1, 15
-#: Pages with prose that a language and length must have to be compared with; else all are.
-LEAST_PEERS = 30
+#: As many pages with prose of all languages and lengths are added to those of a language and length, which
+#: smooths what few pages say.
+PEERS = 30
+#: Pairs of words of same-language prose that are added to those of each page, which smooths short pages.
+PRIOR_PAIRS = 5
 #: The least deviation that counts as a standard deviation of each measure.
-LEAST_SIGMA = 0.02
+LEAST_SIGMA = {"slope": 0.02, "spread": 0.02, "divergence": 0.005, "repetition": 0.02}
 
 TOGETHER = 1000
 _PAGE = pa.schema(
-    [("lang", pa.string()), ("n_words", pa.int64()), ("n_real", pa.int64()), ("keywords", pa.int64()), ("divergence", pa.float64()), ("counts", pa.list_(pa.int32())), ("types", pa.list_(pa.int32()))]
+    [("lang", pa.string()), ("n_words", pa.int64()), ("n_real", pa.int64()), ("keywords", pa.int64()), ("kinds", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("types", pa.list_(pa.int32()))]
 )
 
 
 def page_words(texts: list[str | None], model: dict) -> list[tuple]:
-    """For each text: its language, words, real sentences, words outside them, divergence, and how
-    many different words have each count."""
+    """For each text: its language, words, real sentences, words outside them, word pairs of each kind, and
+    how many different words have each count. No language and no kinds in a language without samples."""
     s = prose.Sentences(texts, model)
     real = s.real()
     n = len(texts)
     words = np.bincount(s.owner, s.size, n).astype(int)
     n_real = np.bincount(s.owner, real, n).astype(int)
     real_words = np.bincount(s.owner, s.size * real, n).astype(int)
-    hits = np.bincount(s.owner, s.pairs, n)
-    # apart from the best sentence: the one with most known triples
-    order = np.lexsort((s.size, s.triples, s.owner))
-    last = np.flatnonzero(np.r_[s.owner[order][1:] != s.owner[order][:-1], True]) if len(order) else order
-    best = order[last]
-    rest_words, rest_hits = words.astype(float), hits.copy()
-    take = real[best]
-    rest_words[s.owner[best[take]]] -= s.size[best[take]]
-    rest_hits[s.owner[best[take]]] -= s.pairs[best[take]]
+    kinds = np.stack([np.bincount(s.owner, s.kinds[:, k], n) for k in range(prose.KINDS)], axis=1).astype(int) if n else []
     langs = np.zeros((len(model["langs"]), n))
     for i in range(len(langs)):
         langs[i] = np.bincount(s.owner, s.known[i], n)
@@ -65,13 +65,15 @@ def page_words(texts: list[str | None], model: dict) -> list[tuple]:
     for k in range(n):
         lang = model["langs"][int(langs[:, k].argmax())] if len(langs) and langs[:, k].any() else None
         spectrum = Counter(Counter(t for t in s.tokens[k] if t not in ".!?;|/*\n\r").values())
-        divergence = 1 - rest_hits[k] / rest_words[k] if rest_words[k] > 0 else None
-        out.append((lang, int(words[k]), int(n_real[k]), int(words[k] - real_words[k]), divergence, list(spectrum), list(spectrum.values())))
+        own = (int(n_real[k]), int(words[k] - real_words[k]), kinds[k].tolist())
+        if prose.may_be_foreign(texts[k], own[0]) and (lines := prose.foreign(texts[k], model)):
+            lang, own = None, (sum(c for c, _ in lines), max(0, int(words[k]) - sum(w for _, w in lines)), None)
+        out.append((lang, int(words[k]), *own, list(spectrum), list(spectrum.values())))
     return out
 
 
 def profiles(pages: DataFrame, id_col: str, url_col: str, text_col: str, samples: DataFrame) -> DataFrame:
-    """(id, url, lang, n_words, n_real, keywords, divergence, counts, types): the words of each page."""
+    """(id, url, lang, n_words, n_real, keywords, kinds, counts, types): the words of each page."""
     known = pages.sparkSession.sparkContext.broadcast(prose.load(samples))
     kind = dict(pages.dtypes)[id_col]
 
@@ -85,7 +87,7 @@ def profiles(pages: DataFrame, id_col: str, url_col: str, text_col: str, samples
 
     rows = without_copies(pages.select(id_col, url_col, text_col), id_col)
     return rows.mapInArrow(
-        run, f"id {kind}, url string, lang string, n_words long, n_real long, keywords long, divergence double, counts array<int>, types array<int>"
+        run, f"id {kind}, url string, lang string, n_words long, n_real long, keywords long, kinds array<long>, counts array<int>, types array<int>"
     )
 
 
@@ -121,23 +123,45 @@ def anchor_repetition(links: DataFrame) -> DataFrame:
 MEASURES = ["slope", "spread", "divergence", "repetition"]
 
 
+def blended(pages: DataFrame, own: DataFrame, everywhere: DataFrame, columns: list[str]) -> DataFrame:
+    """``pages`` with each of ``columns`` from ``own`` (l, b, n, columns), the row of the page's language and
+    length, and from the one row ``everywhere``, weighing as much as PEERS pages. Both are as many rows as
+    languages times lengths, and are broadcast."""
+    own = own.select("l", "b", F.col("n").alias("__n"), *[F.col(c).alias(f"__own_{c}") for c in columns])
+    everywhere = everywhere.select(*[F.col(c).alias(f"__all_{c}") for c in columns])
+    both = pages.join(F.broadcast(own), pages.lang.eqNullSafe(F.col("l")) & (pages.bin == F.col("b")), "left").crossJoin(F.broadcast(everywhere))
+
+    def blend(c: str) -> Column:
+        weigh = lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise((F.col("__n") * x + PEERS * y) / (F.col("__n") + PEERS))
+        # where own is null, all of everywhere
+        return F.coalesce(F.zip_with(F.coalesce(f"__own_{c}", F.array_repeat(F.lit(None).cast("double"), F.size(f"__all_{c}"))), F.col(f"__all_{c}"), weigh), F.col(f"__own_{c}")).alias(c)
+
+    return both.select(*pages.columns, *[blend(c) for c in columns])
+
+
 def compared(pages: DataFrame) -> DataFrame:
-    """``pages`` with z_ columns: how far each measure is from that of prose of the language and length."""
-    length = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
-    pages = pages.withColumn("bin", length)
-    peers = pages.where(F.col("n_real") >= PROSE_SENTENCES)
-    quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(m) for m in MEASURES]
-    # as many rows as languages times lengths
-    own = peers.groupBy("lang", "bin").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= LEAST_PEERS)
-    own = own.select(F.col("lang").alias("l"), F.col("bin").alias("b"), *[F.col(m).alias(f"own_{m}") for m in MEASURES])
-    all_of = peers.agg(*quartiles).select(*[F.col(m).alias(f"all_{m}") for m in MEASURES])
-    both = pages.join(F.broadcast(own), pages.lang.eqNullSafe(F.col("l")) & (pages.bin == F.col("b")), "left").crossJoin(F.broadcast(all_of))
+    """``pages`` with divergence and z_ columns: how far each measure is from that of prose of the language and length."""
+    pages = pages.withColumn("bin", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
+    groups = [F.col("lang").alias("l"), F.col("bin").alias("b")]
+    prose_pages = lambda df: df.where(F.col("n_real") >= PROSE_SENTENCES)
+    each = range(prose.KINDS)
+    shares = F.array(*[(F.coalesce(F.sum(F.col("kinds")[k]), F.lit(0)) + 1.0) / (F.coalesce(F.sum(F.aggregate("kinds", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)) + prose.KINDS) for k in each]).alias("usual")
+    with_kinds = prose_pages(pages).where("kinds is not null")
+    pages = blended(pages, with_kinds.groupBy(*groups).agg(F.count("*").alias("n"), shares), with_kinds.agg(shares), ["usual"])
+    total = F.aggregate("kinds", F.lit(0).cast("long"), lambda a, x: a + x)
+    p = [F.col("usual")[k] for k in each]
+    q = [(F.col("kinds")[k] + PRIOR_PAIRS * p[k]) / (total + PRIOR_PAIRS) for k in each]
+    divergence = reduce(lambda a, b: a + b, [q[k] * F.log(q[k] / p[k]) for k in each])
+    pages = pages.withColumn("divergence", divergence).drop("kinds", "usual")
+    quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{m}") for m in MEASURES]
+    peers = prose_pages(pages)
+    pages = blended(pages, peers.groupBy(*groups).agg(F.count("*").alias("n"), *quartiles), peers.agg(*quartiles), [f"q_{m}" for m in MEASURES])
 
     def z(m: str) -> Column:
-        q = F.coalesce(f"own_{m}", f"all_{m}")
-        return F.coalesce((F.col(m) - q[1]) / F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST_SIGMA)), F.lit(0.0)).alias(f"z_{m}")
+        q = F.col(f"q_{m}")
+        return F.coalesce((F.col(m) - q[1]) / F.greatest((q[2] - q[0]) / 1.349, F.lit(LEAST_SIGMA[m])), F.lit(0.0)).alias(f"z_{m}")
 
-    return both.select(*pages.columns, *[z(m) for m in MEASURES])
+    return pages.select(*[c for c in pages.columns if not c.startswith("q_")], *[z(m) for m in MEASURES])
 
 
 def judged_pages(pages: DataFrame, id_col: str, url_col: str, text_col: str, links: DataFrame, samples: DataFrame) -> DataFrame:
@@ -150,10 +174,9 @@ def judged_pages(pages: DataFrame, id_col: str, url_col: str, text_col: str, lin
     nothing can be compared: the z_ columns are 0 and nothing is found.
     """
     own = materialize(profiles(pages, id_col, url_col, text_col, samples), "page-words")
-    measured = own.drop("counts", "types").join(curves(own), "id", "left")
-    # a null id has its curve lost in the join: such a page is judged by the other measures
-    measured = measured.join(anchor_repetition(links), "url", "left")
-    z = compared(measured.drop("url"))
+    c = curves(own).withColumnRenamed("id", "__id")
+    measured = own.drop("counts", "types").join(c, own.id.eqNullSafe(c["__id"]), "left").drop("__id")
+    z = compared(materialize(measured.join(anchor_repetition(links), "url", "left").drop("url"), "page-measures"))
     suspect = (F.abs("z_slope") >= SLOPE_Z) | (F.col("z_spread") >= SPREAD_Z) | (F.col("z_divergence") >= DIVERGENCE_Z) | (F.col("z_repetition") >= ANCHOR_Z)
     found = suspect & (F.col("n_real") <= MOST_SENTENCES) & (F.col("keywords") >= LEAST_KEYWORDS)
     return z.drop("bin").withColumns({"suspect": suspect, "found": found}).withColumnRenamed("id", id_col)

@@ -2,6 +2,9 @@
 
 The model is the words, word pairs and word triples that graded samples of prose hold. It is bounded
 by the samples it is made of, so it is broadcast.
+
+Languages without samples are told by their short words, which the samples don't know, in pieces of
+text that have the shape of sentences; there the shape decides: see ``foreign``.
 """
 
 from __future__ import annotations
@@ -28,6 +31,13 @@ LEAST_CONTENT = 2
 #: many at most, each in such a share of the samples at least. All other known words are content words.
 FUNCTION_SHARE, MOST_FUNCTION, FUNCTION_HOLDERS = 0.03, 100, 0.25
 
+#: The shape of a sentence: so many words, of which such shares are short, up to so many letters; a sentence
+#: is none if more than such a share of its word pairs stands so often on the page.
+SHAPE_WORDS, SHORT, LEAST_SHORT, MOST_SHORT, REPEATED_SHARE, REPEATED = 6, 3, 0.12, 0.75, 0.5, 3
+#: A page is in a language without samples if the samples know less than this share of the short words of its
+#: sentences, and these have such a share of its words.
+KNOWN_SHORT, SENTENCE_WORDS = 0.5, 0.4
+
 #: Words, and the marks at which a sentence or an item of a list ends.
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;|/*\n\r]")
 _END = re.compile(r"[.!?;|/*\n\r]")
@@ -98,9 +108,14 @@ def _is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (sorted_keys[at] == keys).astype(np.int64)
 
 
+#: Kinds of word pairs: known with a content word, known without, unknown with a function word, of two known
+#: words, others. The ends of a sentence count as words.
+KINDS = 5
+
+
 class Sentences:
     """The sentences of some texts: their owner (the place of the text), words, known pairs and
-    triples, different content words in known pairs, and words known in each language."""
+    triples, different content words in known pairs, pairs of each kind, and words known in each language."""
 
     def __init__(self, texts: list[str | None], model: dict):
         get = model["words"].get
@@ -125,15 +140,24 @@ class Sentences:
         first = starts + 2 * np.arange(len(starts))
         if not len(starts):
             self.pairs = self.triples = self.content = self.size
+            self.kinds = np.zeros((0, KINDS), np.int64)
             self.known = np.zeros((len(model["langs"]), 0), np.int64)
             return
         a, b = padded[:-1], padded[1:]
         pair = _is_in(model["pairs"], a << _BITS | b) * (a > 0) * (b > 0)
         pair = np.r_[pair, 0]
         pair[np.r_[first[1:], len(padded)] - 1] = 0  # from one sentence to the next
+        named = model["content"]
+        function = (padded > 1) & ~named[padded]
+        kind = np.where(
+            pair[:-1] > 0, np.where(named[a] | named[b], 0, 1), np.where(function[:-1] | function[1:], 2, np.where((a > 1) & (b > 1), 3, 4))
+        )
+        sentence = np.repeat(np.arange(len(starts)), self.size + 2)
+        within = sentence[:-1] == sentence[1:]
+        self.kinds = np.bincount(sentence[:-1][within] * KINDS + kind[within], minlength=len(starts) * KINDS).reshape(-1, KINDS)
         at = np.flatnonzero(pair)
-        sentence = np.repeat(np.arange(len(starts)), self.size + 2)[at]
-        both = np.r_[sentence << _BITS | padded[at], sentence << _BITS | padded[at + 1]]
+        of = sentence[at]
+        both = np.r_[of << _BITS | padded[at], of << _BITS | padded[at + 1]]
         different = np.unique(both[model["content"][both & (1 << _BITS) - 1]])
         self.content = np.bincount(different >> _BITS, minlength=len(starts))
         triple = np.r_[_is_in(model["triples"], (a[:-1] << _BITS | b[:-1]) << _BITS | padded[2:]) * (a[:-1] > 0) * (b[:-1] > 0) * (padded[2:] > 0), 0, 0]
@@ -148,3 +172,51 @@ class Sentences:
         enough = (self.size >= LEAST_WORDS) & (self.pairs >= PAIR_SHARE * self.size) & (self.triples >= LEAST_TRIPLES)
         long = (self.size >= LONG) & (self.pairs >= LONG_PAIR_SHARE * self.size) & (self.triples >= LONG_TRIPLES)
         return named & (enough | long)
+
+
+_PIECE = re.compile(r"[^.!?\u2026\u3002\uff01\uff1f\n\r]+[.!?\u2026\u3002\uff01\uff1f]+")
+_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_\u3040-\u30ff\u3400-\u9fff]+")
+
+
+def _shaped(words: list[str]) -> bool:
+    """Words that begin with a capital, or in a script without them, and are short as often as in prose. In scripts
+    without spaces each sign is a word."""
+    if len(words) < SHAPE_WORDS or words[0][0].islower():
+        return False
+    signs = sum("\u3040" <= w <= "\u9fff" for w in words)
+    return 2 * signs > len(words) or LEAST_SHORT <= sum(len(w) <= SHORT for w in words) / len(words) <= MOST_SHORT
+
+
+def foreign(text: str, model: dict) -> list[tuple[int, int]] | None:
+    """For each line of a page in a language without samples its sentences and their words; None for a page that
+    isn't in such a language, or is mostly no sentences.
+
+    A sentence is a piece of the shape of one of which most word pairs aren't repeated on the page, as
+    those of keywords are.
+    """
+    lines = [[w for w in map(_WORD.findall, _PIECE.findall(line)) if _shaped(w)] for line in text.split("\n")]
+    pieces = [w for own in lines for w in own]
+    if not pieces:
+        return None
+    low = [[x.lower() for x in w] for w in pieces]
+    short = [x for w in low for x in w if len(x) <= SHORT]
+    get = model["words"].get
+    ids = [k for x in short if (k := get(x))]
+    if short and len(model["langs"]) and model["known"][:, ids].sum(axis=1).max(initial=0) >= KNOWN_SHORT * len(short):
+        return None
+    pairs = Counter(p for w in low for p in zip(w, w[1:]))
+    out, k = [], 0
+    for own in lines:
+        n = words = 0
+        for w in own:
+            held = list(zip(low[k], low[k][1:]))
+            k += 1
+            if sum(pairs[p] >= REPEATED for p in held) <= REPEATED_SHARE * len(held):
+                n, words = n + 1, words + len(w)
+        out.append((n, words))
+    return out if sum(w for _, w in out) >= SENTENCE_WORDS * len(_WORD.findall(text)) else None
+
+
+def may_be_foreign(text: str | None, n_real: int) -> bool:
+    """Whether ``foreign`` is worth asking: few of the sentences of the page are real ones by the samples."""
+    return bool(text) and n_real < max(3, (text.count(". ") + text.count(".\n") + text.count("\u3002")) / 2)
