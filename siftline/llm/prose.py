@@ -189,7 +189,7 @@ def _shaped(words: list[str]) -> bool:
 
 def foreign(text: str, model: dict) -> list[tuple[int, int]] | None:
     """For each line of a page in a language without samples its sentences and their words; None for a page that
-    isn't in such a language, or is mostly no sentences.
+    isn't in such a language, or is mostly no sentences, or if there are no samples.
 
     A sentence is a piece of the shape of one of which most word pairs aren't repeated on the page, as
     those of keywords are.
@@ -202,7 +202,7 @@ def foreign(text: str, model: dict) -> list[tuple[int, int]] | None:
     short = [x for w in low for x in w if len(x) <= SHORT]
     get = model["words"].get
     ids = [k for x in short if (k := get(x))]
-    if short and len(model["langs"]) and model["known"][:, ids].sum(axis=1).max(initial=0) >= KNOWN_SHORT * len(short):
+    if not model["langs"] or short and model["known"][:, ids].sum(axis=1).max(initial=0) >= KNOWN_SHORT * len(short):
         return None
     pairs = Counter(p for w in low for p in zip(w, w[1:]))
     out, k = [], 0
