@@ -33,10 +33,10 @@ FUNCTION_SHARE, MOST_FUNCTION, FUNCTION_HOLDERS = 0.03, 100, 0.25
 
 #: The shape of a sentence: so many words, of which such shares are short, up to so many letters; a sentence
 #: is none if more than such a share of its word pairs stands so often on the page.
-SHAPE_WORDS, SHORT, LEAST_SHORT, MOST_SHORT, REPEATED_SHARE, REPEATED = 6, 3, 0.12, 0.75, 0.5, 3
+SHAPE_WORDS, SHORT, LEAST_SHORT, MOST_SHORT, REPEATED_SHARE, REPEATED = 6, 3, 0.12, 0.75, 0.5, 4
 #: A page is in a language without samples if the samples know less than this share of the short words of its
 #: sentences, and these have such a share of its words.
-KNOWN_SHORT, SENTENCE_WORDS = 0.5, 0.4
+KNOWN_SHORT, SENTENCE_WORDS = 0.65, 0.4
 
 #: Words, and the marks at which a sentence or an item of a list ends.
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;|/*\n\r]")

@@ -112,6 +112,31 @@ def test_site_lines(spark, samples):
     assert boilerplate.site_lines(docs.limit(0), samples).count() == 0
 
 
+def test_elements_of_a_dom(spark, samples):
+    rng = random.Random(5)
+    rows = []
+    for i in range(40):
+        prose_text = "".join(f"<p>{sentence(rng)}. {sentence(rng)} {i}.</p>" for _ in range(2))
+        teaser = f"<div class='promo'><span>offer {rng.choice('abc')}</span></div>"
+        rows.append((i, "https://www.acme.example/p" + str(i), f"<html><head><title>T{i}</title><style>p {{}}</style></head><body><div class='menu'><ul><li>Home</li><li>News &amp; more</li></ul></div><div class='main'><h1>{chr(97 + i % 26) * 3}{chr(98 + i // 26)} chapter</h1>{prose_text}</div>{teaser}<br></body></html>"))
+    rows += [(90, "https://www.acme.example/e", None), (91, None, "")]
+    pages = boilerplate.html_lines(spark.createDataFrame(rows, "id long, url string, html string"), "id", "url", "html")
+    first = pages.where("row_id = 0").first()
+    assert first.title == "T0" and first.text.split("\n")[:3] == ["Home", "News & more", "aaab chapter"] and first.paths[0] == "body./div.menu/ul./li." and len(first.paths) == 6
+    got = {(r.row_id, r.line_no) for r in boilerplate.site_lines(pages, samples).collect()}
+    assert got == {(i, n) for i in range(40) for n in (0, 1, 5)}
+
+
+def test_importance_is_that_of_entropy(spark):
+    import math
+
+    rows = [("h", 1, 4, 4, 0.0), ("h", 2, 4, 8, 5 * math.log(5)), ("h", 3, 1, 1, 0.0)]
+    nodes = spark.createDataFrame(rows, "host string, node long, k long, c long, s double")
+    got = {r.node: r.share for r in boilerplate.sized(nodes, spark.createDataFrame([("h", 11)], "host string, m long")).collect()}
+    entropy = -sum(p * math.log(p) for p in (5 / 8, 1 / 8, 1 / 8, 1 / 8))
+    assert abs(got[1] - 0.3) < 1e-12 and abs(got[2] - (math.exp(entropy) - 1) / 10) < 1e-12 and got[3] == 0
+
+
 def test_plain_repairs_and_signs():
     assert boilerplate.plain("BÃºsqueda") == "búsqueda" and boilerplate.plain("Q &amp; A ") == "q & a"
     assert boilerplate.signs("© 2024-05 Acme | My page", "acme", "my page") == ["#", "@", "titlesign"]
