@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +39,72 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Folder:
+    """A folder of any file system that the session knows: what it holds, and removing it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark.sparkContext._jvm
+        self.path = path
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._at(""))] if self._fs.exists(self._at("")) else []
+
+    def holds(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def claim(self, name: str) -> bool:
+        """Makes a marker of this name; false if there is one. Only one of several callers gets true."""
+        if self.holds(f"{name}/_SUCCESS"):
+            return False
+        try:
+            self._fs.create(self._at(f".claim-{name}"), False).close()
+        except Exception as e:  # the file system's own exception, as Py4J gives it
+            if "exist" in str(e).lower():
+                return False
+            raise
+        return True
+
+    def remove(self, name: str = "") -> None:
+        self._fs.delete(self._at(name), True)
+
+
+#: For each scope that is open, the tables made in it.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables made within are removed at the end. What is made of them must have been read by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for made in _SCOPES.pop():
+            release(made)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table, without its lineage."""
+    """Writes ``df`` to the shared folder and returns the written table, without its lineage.
+
+    The table stays until the ``scope`` in which it was made ends, or ``release`` is called with it.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    if _SCOPES:
+        _SCOPES[-1].append(written)
+    return written
+
+
+def release(written: DataFrame) -> None:
+    """Removes a table that ``materialize`` gave, once nothing reads it any more."""
+    Folder(written.sparkSession, written.written_to).remove()
 
 
 def partitions(spark: SparkSession) -> int:
