@@ -2,12 +2,13 @@ import random
 import uuid
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions.fold import fold
 from siftline.llm import fusion
 from siftline.llm import term_counts as tc
-from siftline.storage import shared_dir
+from siftline.storage import Folder, shared_dir
 
 
 def entries(spark, rows):
@@ -52,12 +53,47 @@ def test_only_touched_partitions_are_written_again(spark):
     assert sum(old[b] != f for b, f in store.manifest.items()) == 1
 
 
+def test_a_store_that_grows_has_more_partitions(spark):
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    store = tc.TermCounts(spark, path, buckets=2, per_bucket=10)
+    rows = [(f"t{i % 97}", i, 1 + i % 3) for i in range(300)]
+    for lo in range(0, 300, 60):
+        store.apply(None, entries(spark, rows[lo : lo + 60]))
+        again = tc.TermCounts.open(spark, path, per_bucket=10)
+        assert {r.term: (r.occurrences, r.records) for r in again.counts().collect()} == recount(rows[: lo + 60])
+        assert again.rows == store.rows and again.total == lo + 60
+    assert store.buckets == 16 and max(store.rows.values()) <= 20
+    last_two = spark.read.schema("folder string").parquet(f"{path}/manifests/4", f"{path}/manifests/5").collect()
+    kept = {r.folder.rpartition("/")[0].rpartition("/")[2] for r in last_two}
+    assert {n for n in Folder(spark, path).names() if n.startswith("counts-")} == kept and sum(n.isdigit() for n in Folder(spark, f"{path}/manifests").names()) == 2
+
+
+def test_of_two_writers_one_fails(spark):
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    a = tc.TermCounts(spark, path, buckets=2)
+    a.apply(None, entries(spark, [("x", 1, 1)]))
+    b = tc.TermCounts.open(spark, path)
+    a.apply(None, entries(spark, [("y", 2, 1)]))
+    with pytest.raises(RuntimeError):
+        b.apply(None, entries(spark, [("z", 3, 1)]))
+    assert {r.term for r in tc.TermCounts.open(spark, path).counts().collect()} == {"x", "y"}
+    assert Folder(spark, f"{path}/manifests").claim("3")  # by a writer that then ends
+    with pytest.raises(RuntimeError):
+        a.apply(None, entries(spark, [("z", 3, 1)]))
+    c = tc.TermCounts.open(spark, path, abandon=True)
+    c.apply(None, entries(spark, [("z", 3, 1)]))
+    assert c.version == 3 and c.total == 3
+
+
 def test_entries_and_marks(spark):
     rows = [
         ("Café", 1, 9, [1, 2]), ("cafe", 1, 2, [1, 2]), ("cafe ", 2, 1, [4]), ("cafe", 3, 3, None), (None, 1, 1, [1]), ("  ", 4, 1, [1]), ("x", None, 1, [1]), ("हि", 5, 1, [1]), ("y", 1, 1, [7]),
     ]
     p = spark.createDataFrame(rows, "term string, doc_id long, term_frequency int, positions array<int>").withColumn("n", F.lit("clash"))
     got = {(r.term, r.record): r.n for r in tc.term_entries(p).collect()}
+    blank = {k: n for k, n in got.items() if k[0] is None}
+    assert blank == {(None, 4): 0, (None, 5): 0}  # records without terms
+    got = {k: n for k, n in got.items() if k[0] is not None}
     assert got == {("cafe", 1): 2, ("cafe", 2): 1, ("cafe", 3): 3, ("y", 1): 1}
     counts = spark.createDataFrame([("cafe", 6, 3), ("y", 1, 2)], "term string, occurrences long, records long")
     assert {(r.term, r.mark) for r in tc.marked(counts, 5).collect()} == {("cafe", "common"), ("y", "rare"), ("y", "common")}
