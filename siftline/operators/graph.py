@@ -109,8 +109,8 @@ def crawl(seeds: DataFrame, links: DataFrame, fetched: DataFrame, *, max_depth:
         level = links.join(pages, "source_url", "left_semi").select(F.trim("target_url").alias("url")).where("url <> ''").distinct().join(done, "url", "left_anti")
     from siftline.operators.ranks import competition_places
 
-    order = F.struct("depth", "url")
-    numbered = competition_places(done.withColumn("one", F.lit(1)), ["one"], F.when(F.col("outcome") == "crawled", order), "crawl_no", descending=False)
+    order = [F.when(F.col("outcome") == "crawled", F.col(c)) for c in ("depth", "url")]
+    numbered = competition_places(done, [], order, "crawl_no", descending=False)
     numbered = numbered.select("url", "depth", "outcome", F.when(F.col("outcome") == "crawled", F.col("crawl_no")).alias("crawl_no"))
     if max_pages is None:
         return numbered

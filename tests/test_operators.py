@@ -65,7 +65,7 @@ def test_components_against_union_find(spark):
 def test_places_against_brute_force(spark):
     rng = random.Random(8)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), 1.0, 2.0, 5.0])) for _ in range(400)]
-    got = competition_places(spark.createDataFrame(rows, "k string, v double").withColumn("r", F.lit(1)), ["k"], number("v"), "place").collect()
+    got = competition_places(spark.createDataFrame(rows, "k string, v double").withColumn("r", F.lit(1)), ["k"], [number("v")], "place").collect()
     assert len(got) == 400
     for r in got:
         own = [v for k, v in rows if k == r.k and v is not None and v == v]
@@ -73,6 +73,22 @@ def test_places_against_brute_force(spark):
         assert r.place == 1 + (sum(v > r.v for v in own) if ok else len(own))
 
 
+def test_places_over_ranges_that_cut_groups_and_ties(spark):
+    rng = random.Random(9)
+    rows = [("a", i, rng.choice([1.0, 2.0]) if i % 3 else None, i % 7) for i in range(3000)] + [("b", i, float(i), 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, i long, v double, w long").repartition(7)
+    got = competition_places(df, ["k"], [F.col("v"), F.col("w")], "place", descending=False).collect()
+    assert len(got) == len(rows)
+    for key in "ab":
+        own = sorted((r.v is None, r.v or 0, r.w) for r in got if r.k == key)
+        first = {}
+        for n, x in enumerate(own, 1):
+            first.setdefault(x, n)
+        assert all(r.place == first[r.v is None, r.v or 0, r.w] for r in got if r.k == key)
+    assert {r.place for r in competition_places(df.where("k = 'b'"), [], [F.col("i")], "place").collect()} == set(range(1, 41))
+    assert competition_places(df.limit(0), ["k"], [F.col("v")], "place").count() == 0
+
+
 def test_without_copies(spark):
     rows = [(1, "a"), (1, "a"), (2, None), (None, "x"), (None, "x")]
     assert sorted(map(str, without_copies(spark.createDataFrame(rows, "id long, t string"), "id").collect())) == sorted(map(str, spark.createDataFrame(rows, "id long, t string").distinct().collect()))
