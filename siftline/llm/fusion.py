@@ -23,7 +23,7 @@ from siftline.storage import table
 K = 60
 
 
-def fuse(df: DataFrame, group: str, item: str, scores: list[str], *, k: float | None = K, name: str = "fused") -> DataFrame:
+def fuse(df: DataFrame, group: str, item: str, scores: list[str], *, k: float | None = K, name: str = "fused", best_only: bool = False) -> DataFrame:
     """(group, item, places array<long>, place_sum, fused, rank) for each item of each group.
 
     ``df`` has one row per item; rows repeated for an item count with their greatest scores. places
@@ -33,13 +33,15 @@ def fuse(df: DataFrame, group: str, item: str, scores: list[str], *, k: float |
     places. rank orders by fused, then by the exact sum of places, then by item. Null groups and
     items are values like others. Other columns are ignored. An empty table gives an empty one.
 
-    No group is held by one task: see ``competition_places``; the final rank is one more such list.
+    With ``best_only`` there is only the first item of each group. No group is held by one task: see
+    ``competition_places``; the final rank is one more such list.
     """
     own = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *[number(c).alias(f"s{j}") for j, c in enumerate(scores)])
     own = own.groupBy("g", "i").agg(*[F.max(f"s{j}").alias(f"s{j}") for j in range(len(scores))])
     long = own.select("g", "i", F.posexplode(F.array(*[F.col(f"s{j}") for j in range(len(scores))])).alias("list", "value"))
-    placed = competition_places(long, ["g", "list"], F.col("value"), "place")
+    placed = competition_places(long, ["g", "list"], [F.col("value")], "place")
     if k is None:
+        # one number; with a k so large that doubles no longer tell places apart, place_sum orders
         longest = own.groupBy("g").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
         k = 4.0 * len(scores) * longest**2
     share = lambda p: F.lit(1.0) / (F.lit(float(k)) + p)
@@ -49,8 +51,12 @@ def fuse(df: DataFrame, group: str, item: str, scores: list[str], *, k: float |
     # added in the order of the places, so that items with the same places get the same sum to the last bit
     added = F.aggregate(F.array_sort(F.array(*places)), F.lit(0.0), lambda a, p: a + share(p))
     sums = sums.select("g", "i", F.array(*places).alias("places"), reduce(lambda a, b: a + b, places).alias("place_sum"), added.alias(name))
-    best_first = F.struct((-F.col(name)).alias("a"), F.col("place_sum").alias("b"), F.col("i").alias("c"))
-    ranked = competition_places(sums, ["g"], best_first, "rank", descending=False)
+    order = [(-F.col(name)).alias("a"), F.col("place_sum").alias("b"), F.col("i").alias("c")]
+    if best_only:
+        best = F.min_by(F.struct(*[c for c in sums.columns if c != "g"]), F.struct(*order)).alias("best")
+        ranked = sums.groupBy("g").agg(best).select("g", "best.*").withColumn("rank", F.lit(1).cast("long"))
+    else:
+        ranked = competition_places(sums, ["g"], order, "rank", descending=False)
     return ranked.select(F.col("g").alias(group), F.col("i").alias(item), "places", "place_sum", name, "rank")
 
 
@@ -68,8 +74,8 @@ def result_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id): the item of each query that stands first when all four lists weigh alike."""
-    fused = fuse(result_items(spark, sf_dir), "query_id", "doc_id", [*METHODS, "pagerank_score"], k=None)
-    return fused.where("rank = 1").select("query_id", "doc_id")
+    fused = fuse(result_items(spark, sf_dir), "query_id", "doc_id", [*METHODS, "pagerank_score"], k=None, best_only=True)
+    return fused.select("query_id", "doc_id")
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

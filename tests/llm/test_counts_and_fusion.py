@@ -121,4 +121,6 @@ def test_fusion_against_brute_force(spark):
             order = sorted(mine, key=lambda r: (r.place_sum if k is None else 0, -r.fused, r.place_sum, r.d))
             assert k is None or all(abs(r.fused - sum(1 / (k + p) for p in r.places)) < 1e-12 for r in mine)
             assert [r.d for r in sorted(mine, key=lambda r: r["rank"])] == [r.d for r in order]
+        best = fusion.fuse(df, "q", "d", ["a", "b"], k=k, best_only=True).collect()
+        assert sorted(map(str, best)) == sorted(str(r) for r in out if r["rank"] == 1)
     assert fusion.fuse(df.limit(0), "q", "d", ["a", "b"], k=None).count() == 0
