@@ -64,7 +64,10 @@ def page_words(texts: list[str | None], model: dict) -> list[tuple]:
     out = []
     for k in range(n):
         lang = model["langs"][int(langs[:, k].argmax())] if len(langs) and langs[:, k].any() else None
-        spectrum = Counter(Counter(t for t in s.tokens[k] if t not in ".!?;|/*\n\r").values())
+        counted = Counter(s.tokens[k])
+        for mark in prose.MARKS:
+            counted.pop(mark, None)
+        spectrum = Counter(counted.values())
         own = (int(n_real[k]), int(words[k] - real_words[k]), kinds[k].tolist())
         if prose.may_be_foreign(texts[k], own[0]) and (lines := prose.foreign(texts[k], model)):
             lang, own = None, (sum(c for c, _ in lines), max(0, int(words[k]) - sum(w for _, w in lines)), None)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ SHAPE_WORDS, SHORT, LEAST_SHORT, MOST_SHORT, REPEATED_SHARE, REPEATED = 6, 3, 0.
 KNOWN_SHORT, SENTENCE_WORDS = 0.65, 0.4
 
 #: Words, and the marks at which a sentence or an item of a list ends.
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;|/*\n\r]")
+TOKEN, MARKS = re.compile(r"[^\W\d_]+|[.!?;|/*\n\r]"), ".!?;|/*\n\r"
 _END = re.compile(r"[.!?;|/*\n\r]")
 _BITS = 20
 
@@ -118,16 +119,16 @@ class Sentences:
     triples, different content words in known pairs, pairs of each kind, and words known in each language."""
 
     def __init__(self, texts: list[str | None], model: dict):
-        get = model["words"].get
+        if "numbers" not in model:  # of words, and of marks
+            model["numbers"] = model["words"] | dict.fromkeys(MARKS, -1)
         tokens = [TOKEN.findall(plain(t)) if t else [] for t in texts]
         self.tokens = tokens
         count = np.fromiter(map(len, tokens), np.int64, len(tokens))
         owner = np.repeat(np.arange(len(tokens)), count)
-        flat = [t for own in tokens for t in own]
-        ids = np.fromiter((get(t, 0) for t in flat), np.int64, len(flat))
-        end = np.fromiter((t in ".!?;|/*\n\r" for t in flat), bool, len(flat))
-        new_text = np.r_[True, owner[1:] != owner[:-1]] if len(flat) else np.empty(0, bool)
-        number = np.cumsum(np.r_[False, end[:-1]] | new_text) if len(flat) else np.empty(0, np.int64)
+        ids = np.fromiter(map(model["numbers"].get, chain.from_iterable(tokens), repeat(0)), np.int64, int(count.sum()))
+        end = ids == -1
+        new_text = np.r_[True, owner[1:] != owner[:-1]] if len(ids) else np.empty(0, bool)
+        number = np.cumsum(np.r_[False, end[:-1]] | new_text) if len(ids) else np.empty(0, np.int64)
         word = ~end
         ids, owner, number = ids[word], owner[word], number[word]
         starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(ids) else np.empty(0, np.int64)
@@ -174,7 +175,7 @@ class Sentences:
         return named & (enough | long)
 
 
-_PIECE = re.compile(r"[^.!?\u2026\u3002\uff01\uff1f\n\r]+[.!?\u2026\u3002\uff01\uff1f]+")
+_STOP = re.compile(r"[.!?\u2026\u3002\uff01\uff1f]+")
 _WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W\d_\u3040-\u30ff\u3400-\u9fff]+")
 
 
@@ -194,7 +195,7 @@ def foreign(text: str, model: dict) -> list[tuple[int, int]] | None:
     A sentence is a piece of the shape of one of which most word pairs aren't repeated on the page, as
     those of keywords are.
     """
-    lines = [[w for w in map(_WORD.findall, _PIECE.findall(line)) if _shaped(w)] for line in text.split("\n")]
+    lines = [[w for w in map(_WORD.findall, _STOP.split(line)[:-1]) if _shaped(w)] for line in text.split("\n")]
     pieces = [w for own in lines for w in own]
     if not pieces:
         return None
