@@ -53,6 +53,12 @@ def postings(docs: DataFrame) -> DataFrame:
     )
 
 
+def distinct_terms(docs: DataFrame) -> DataFrame:
+    """(term): the terms of all pages, each once. Tokens are made different before they are stemmed, and no postings."""
+    tokens_ = docs.select(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in TEXTS]).alias("text")).select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct()
+    return with_stem(tokens_.where(~is_stop_word(F.col("token")) & (F.length("token") >= 2)), "token", "term").select("term").distinct()
+
+
 def doc_lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, word_count): all tokens of a page, stop words too."""
     return doc_tokens(docs).select("doc_id", F.size("tokens").alias("word_count"))

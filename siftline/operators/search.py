@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.config import DEFAULTS, Settings
 from siftline.functions.numbers import rounded
 from siftline.functions.text import word_count
+from siftline.operators.blocks import search_blocks
 from siftline.operators.index import corpus_stats, doc_frequency
 from siftline.plans.parse import parse
 from siftline.storage import materialize, partitions
@@ -42,7 +43,7 @@ def query_terms(parsed: DataFrame) -> DataFrame:
 
 
 def search(
-    queries: DataFrame, docs: DataFrame, postings: DataFrame, lengths: DataFrame, *, method: str = "bm25", limit: int | None = 50,
+    queries: DataFrame, docs: DataFrame, postings: DataFrame, lengths: DataFrame, *, blocks: DataFrame | None = None, method: str = "bm25", limit: int | None = 50,
     domain: str | None = None, boosts: bool = True, all_terms: bool = False, phrases: bool = False, exclude: bool = False, settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """(query_id, rank, doc_id, score): the best ``limit`` pages of each query, all for None.
@@ -52,9 +53,14 @@ def search(
     with the wildcards of ILIKE. By default operators in the query do no more than choose its terms:
     ``all_terms`` keeps pages that hold every term of AND queries, ``phrases`` those that hold each
     phrase in a row, ``exclude`` drops pages that hold an excluded term. An unknown method is BM25.
+    With ``blocks``, the index of ``operators.blocks``, and a limit, only the best pages of each block
+    become rows; phrases need positions, and look at all pairs of queries and pages.
     """
     # read several times below
     parsed = materialize(parse(queries).where(F.size("search_terms") > 0), "parsed-queries")
+    if blocks is not None and limit is not None and not phrases:
+        found = search_blocks(parsed, blocks, lengths, method=method, limit=limit, domain=domain, boosts=boosts, all_terms=all_terms, exclude=exclude, settings=settings)
+        return top(found, limit)
     terms = query_terms(parsed)
     asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
     facts = page_facts(docs, lengths)

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from siftline import reference_sql as R
 from siftline.config import DEFAULTS
 from siftline.functions import text as T
-from siftline.operators import analytics, graph, index, search, semantic, snippet, spell, suggest
+from siftline.operators import analytics, blocks, graph, index, search, semantic, snippet, spell, suggest
 from siftline.plans.parse import parse
 from siftline.sources import html
-from siftline.storage import materialize, table
+from siftline.storage import kept, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,17 +122,28 @@ def parse_queries(spark, d):
 
 
 class Collection:
-    """The pages of docs with their index, made once for a query."""
+    """The pages of docs with their index, which is stored and kept while docs doesn't change."""
 
     def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.source = spark, [f"{d}/docs.parquet"]
         self.docs = index.load_pages(spark, d)
-        # read more than once below
-        self.postings = materialize(index.postings(self.docs), "postings")
-        self.lengths = materialize(index.doc_lengths(self.docs), "lengths")
         self.queries = logged(spark, d)
 
+    @property
+    def postings(self) -> DataFrame:
+        return kept(self.spark, "postings", self.source, lambda: index.postings(self.docs))
+
+    @property
+    def lengths(self) -> DataFrame:
+        return kept(self.spark, "lengths", self.source, lambda: index.doc_lengths(self.docs))
+
+    @property
+    def blocks(self) -> DataFrame:
+        facts = search.page_facts(self.docs, self.lengths)
+        return kept(self.spark, "blocks", self.source, lambda: blocks.block_index(facts, self.postings), blocks.write)
+
     def search(self, **options) -> DataFrame:
-        return search.search(options.pop("queries", self.queries), self.docs, self.postings, self.lengths, **options)
+        return search.search(options.pop("queries", self.queries), self.docs, self.postings, self.lengths, blocks=self.blocks, **options)
 
 
 @query(f"WITH {R.hits()} {R.top('hits', 10)}")
@@ -309,7 +320,7 @@ fix AS (SELECT word, arg_min(term, (dist, -freq, term)) AS correction FROM pairs
 
 
 def _vocabulary(spark, d):
-    return spell.vocabulary(index.doc_frequency(index.postings(index.load_pages(spark, d))))
+    return spell.vocabulary(index.doc_frequency(Collection(spark, d).postings))
 
 
 @query(f"WITH {_VOCABULARY} SELECT term, freq FROM vocab")
@@ -482,7 +493,7 @@ round(100.0::DOUBLE * count(*) FILTER (results_count = 0) / count(*), 2) AS zero
 (SELECT count(*) FROM d) AS total_documents, (SELECT count(DISTINCT term) FROM p) AS total_indexed_terms FROM l""")
 def search_summary(spark, d):
     docs = index.load_pages(spark, d)
-    return analytics.summary(_log(spark, d), docs, index.postings(docs).select("term"))
+    return analytics.summary(_log(spark, d), docs, index.distinct_terms(docs))
 
 
 @query(f"""WITH {R.LOGGED} SELECT query_normalized AS query, count(*) AS count, round(avg(results_count), 1) AS avg_results, round(avg(response_time_ms), 2) AS avg_time_ms, max(searched_at) AS last_searched
@@ -502,4 +513,4 @@ def zero_result_rate(spark, d):
 (SELECT count(*) FROM (SELECT DISTINCT source_url, target_url FROM links)) AS total_links, (SELECT count(*) FROM l) AS total_searches""")
 def system_stats(spark, d):
     docs = index.load_pages(spark, d)
-    return analytics.system_stats(docs, index.postings(docs).select("term"), table(spark, d, "links"), _log(spark, d))
+    return analytics.system_stats(docs, index.distinct_terms(docs), table(spark, d, "links"), _log(spark, d))

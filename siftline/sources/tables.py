@@ -30,11 +30,11 @@ def append(rows: DataFrame, folder: str, name: str) -> None:
     rows.select(*[rows[c].cast(t).alias(c) for c, t in fields]).write.mode("append").parquet(f"{folder}/{name}")
 
 
-def write_index(postings: DataFrame, folder: str, files: int) -> None:
-    """Writes postings so that a look-up of terms reads few row groups: ranges of terms, sorted by term."""
-    postings.repartitionByRange(files, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-
-
 def jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A table of a relational database; needs its driver on the class path."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+def to_jdbc(rows: DataFrame, url: str, name: str, *, mode: str = "append", **options: str) -> None:
+    """Writes rows to a table of a relational database."""
+    rows.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()

@@ -6,10 +6,11 @@ Lineage is cut by writing a table to the shared folder and reading it back, neve
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,15 @@ class Folder:
     def names(self) -> list[str]:
         return [x.getPath().getName() for x in self._fs.listStatus(self._at(""))] if self._fs.exists(self._at("")) else []
 
+    def files(self) -> list[tuple[str, int, int]]:
+        """Path, size and time of the folder's files, or of the file that it is."""
+        found = [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in self._fs.listStatus(self._at(""))]
+        return sorted(f for f in found if not f[0].rpartition("/")[2].startswith(("_", ".")))
+
+    def rename(self, old: str, new: str) -> bool:
+        """False if there is such a name."""
+        return not self.holds(new) and bool(self._fs.rename(self._at(old), self._at(new))) and self.holds(f"{new}/_SUCCESS")
+
     def holds(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
 
@@ -135,3 +145,21 @@ def without_copies(df: DataFrame, key: str) -> DataFrame:
     return df.join(repeated, same, "left_anti").unionByName(
         df.join(repeated, same, "left_semi").dropDuplicates([key])
     )
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame], write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+    """A table that is made of the files of ``sources`` once and kept in the shared folder.
+
+    Its name holds the names, sizes and times of the files, so a change of any of them makes it anew.
+    Of two callers that make it at once each writes its own, and the one that ends first is kept.
+    """
+    facts = [str(x) for source in sources for x in Folder(spark, source).files()]
+    place = f"{name}-{hashlib.md5(chr(10).join(facts).encode()).hexdigest()}"
+    folder = Folder(spark, f"{shared_dir(spark)}/kept")
+    if not folder.holds(f"{place}/_SUCCESS"):
+        own = f"{place}-{uuid.uuid4().hex}"
+        made = make()
+        (write or (lambda df, path: df.write.parquet(path)))(made, f"{folder.path}/{own}")
+        if not folder.rename(own, place):
+            folder.remove(own)
+    return spark.read.parquet(f"{folder.path}/{place}")
