@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from siftline.functions.numbers import rounded
 from siftline.functions.text import STOP_WORDS
 from siftline.operators.search import top
 
-#: Vectors in a block of the collection, and queries in a block.
-BLOCK, QUERY_BLOCK = 4096, 512
+#: Vectors in a block of the collection, queries in a block, and bytes of queries sent to all tasks at once.
+BLOCK, QUERY_BLOCK, QUERY_BYTES = 4096, 512, 64_000_000
 
 
 def hashed(text: str | None, dim: int, stop: frozenset[str]) -> np.ndarray:
@@ -65,57 +66,93 @@ def build(docs: DataFrame, vectors: DataFrame | None = None, *, dim: int = DEFAU
 
 
 def put(vectors: DataFrame, changed: DataFrame) -> DataFrame:
-    """``vectors`` with those of ``changed`` in the place of the ones they had."""
-    return vectors.join(changed, "doc_id", "left_anti").unionByName(changed)
+    """``vectors`` with those of ``changed`` in the place of the ones they had. Of several changes of one page the
+    last by ``changed_at`` holds, if there is such a column, else the greatest vector; null vectors delete."""
+    at = [F.col("changed_at")] if "changed_at" in changed.columns else []
+    last = changed.groupBy("doc_id").agg(F.max_by("embedding", F.struct(*at, F.col("embedding"))).alias("embedding"))
+    return vectors.join(last, "doc_id", "left_anti").select("doc_id", "embedding").unionByName(last.where("embedding is not null"))
 
 
 def valid(vectors: DataFrame, dim: int) -> DataFrame:
-    """Without null vectors and those of another length."""
-    return vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim))
+    """Without vectors that are null, of another length, or that hold a null or something that is no number."""
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim) & whole)
 
 
-def _blocks(df: DataFrame, id_col: str, size: int) -> DataFrame:
-    """(ids array<long>, matrix binary): rows packed by the task that reads them."""
+def usual_length(vectors: DataFrame) -> int:
+    """The length of most vectors; the greater of those equally frequent, 0 if there are none."""
+    row = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()
+    return row.n if row else 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, size):
-                some = batch.slice(lo, size)
-                flat = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-                ids = pa.ListArray.from_arrays([0, some.num_rows], some.column(0).cast(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([flat.tobytes()], pa.binary())], ["ids", "matrix"])
 
-    return df.select(id_col, "embedding").mapInArrow(run, "ids array<long>, matrix binary")
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", doc_id: str = "doc_id", dim: int | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score): for each query vector the k vectors of greatest inner product.
 
-    Exact. Both sides are packed in blocks, each block of queries meets each block of the collection in
-    one matrix product, and only the k best of a block are kept; the stated query set is the small
-    side, so its blocks are what is sent around. Vectors are taken to be of length 1 and of one
-    dimension; ties go by doc_id. No vectors give no rows.
+    Exact. The stated query set is gathered in rounds of at most QUERY_BYTES and sent to all tasks once;
+    each task multiplies it with the vectors it reads, block by block, and gives the k best it has met
+    for each query, so the vectors never move. Vectors are taken to be of length 1; those that aren't
+    ``valid`` are left out on both sides, with ``dim`` by default the usual length. Ties go by doc_id. No
+    vectors give no rows.
     """
-    q = _blocks(queries.select(F.col(query_id), "embedding"), query_id, QUERY_BLOCK).toDF("q_ids", "q_matrix")
-    v = _blocks(vectors.select(F.col(doc_id), "embedding"), doc_id, BLOCK)
+    dim = usual_length(vectors) if dim is None else dim
+    asked = valid(queries.select(F.col(query_id).cast("long").alias("query_id"), "embedding"), dim)
+    rows = valid(vectors.select(F.col(doc_id).cast("long").alias("doc_id"), "embedding"), dim)
+    rounds = max(1, math.ceil(asked.count() * max(dim, 1) * 4 / QUERY_BYTES))
+    out = None
+    for r in range(rounds):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) if rounds > 1 else asked
+        table = some.toArrow().combine_chunks()  # of bounded size
+        found = _nearest(rows, table["query_id"].combine_chunks().to_numpy(), _matrix(table["embedding"].combine_chunks(), dim) if dim else np.empty((0, 0), np.float32), k, dim)
+        out = found if out is None else out.unionByName(found)
+    return top(out, k)
+
+
+def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, dim: int) -> DataFrame:
+    """The k best of each task and those that tie with the last, with rounded scores."""
+    known = vectors.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = known.value
+        q = q.astype(np.float64)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        least = np.full(len(q_ids), -np.inf)  # the k-th best so far
+        held = 0
+
+        def prune() -> None:
+            nonlocal held
+            at, doc, score = (np.concatenate(c) for c in zip(*kept))
+            order = np.lexsort((doc, -score, at))
+            at, doc, score = at[order], doc[order], score[order]
+            begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            size = np.diff(np.r_[begin, len(at)])
+            full = size >= k
+            least[at[begin[full]]] = score[begin[full] + k - 1]
+            fine = score >= least[at]
+            kept[:] = [(at[fine], doc[fine], score[fine])]
+            held = int(fine.sum())
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, ids = np.array(row["q_ids"]), np.array(row["ids"])
-                if not len(q_ids) or not len(ids):
-                    continue
-                a = np.frombuffer(row["q_matrix"], np.float32).reshape(len(q_ids), -1).astype(np.float64)
-                b = np.frombuffer(row["matrix"], np.float32).reshape(len(ids), -1).astype(np.float64)
-                scores = a @ b.T
-                n = min(k, len(ids))
-                # by score, then by id: those that tie with the last one are all kept for the merge
-                edge = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
-                at_q, at_v = np.nonzero(scores >= edge[:, None] - 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at_q]), pa.array(ids[at_v]), pa.array(scores[at_q, at_v])], ["query_id", "doc_id", "score"])
-
-    pairs = v.crossJoin(q).select("q_ids", "q_matrix", "ids", "matrix")  # of blocks
-    return top(pairs.mapInArrow(best, "query_id long, doc_id long, score double").withColumn("score", rounded(F.col("score"), 6)), k)
+            for lo in range(0, batch.num_rows if len(q_ids) else 0, BLOCK):
+                some = batch.slice(lo, BLOCK)
+                docs, v = some.column(0).to_numpy(), _matrix(some.column(1), dim).astype(np.float64)
+                for first in range(0, len(q_ids), QUERY_BLOCK):
+                    raw = q[first : first + QUERY_BLOCK] @ v.T
+                    score = np.copysign(np.floor(np.abs(raw) * 1e6 + 0.5) / 1e6, raw)
+                    at, which = np.nonzero(score >= least[first : first + QUERY_BLOCK, None])
+                    kept.append((at + first, docs[which], score[at, which]))
+                    held += len(at)
+                    if held > 2_000_000:
+                        prune()
+                if kept:
+                    prune()
+        for at, doc, score in kept:
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(doc), pa.array(score)], ["query_id", "doc_id", "score"])
+
+    return vectors.select("doc_id", "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def semantic_search(similar: DataFrame, docs: DataFrame, *, domain: str | None = None, limit: int | None = 50, settings: Settings = DEFAULTS) -> DataFrame:

@@ -138,6 +138,22 @@ def test_fusion_ties_put_the_semantic_list_first(spark):
     assert [r.doc_id for r in search.rank_fusion(s, k).orderBy("rank").collect()] == [9, 3]
 
 
+def in_rounds(semantic, df):
+    """The same search with queries sent in several rounds."""
+    old, semantic.QUERY_BYTES = semantic.QUERY_BYTES, 64
+    try:
+        return semantic.cosine_top(df.where("doc_id % 50 = 3").withColumnRenamed("doc_id", "query_id"), df, 5).collect()
+    finally:
+        semantic.QUERY_BYTES = old
+
+
+def test_put_takes_the_last_change(spark):
+    v = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [3.0])], "doc_id long, embedding array<float>")
+    c = spark.createDataFrame([(2, [7.0], 1), (2, [5.0], 2), (3, None, 1), (4, [4.0], 1)], "doc_id long, embedding array<float>, changed_at int")
+    assert {r.doc_id: r.embedding for r in semantic.put(v, c).collect()} == {1: [1.0], 2: [5.0], 4: [4.0]}
+    assert {r.doc_id: r.embedding for r in semantic.put(v, c.drop("changed_at")).collect()}[2] == [7.0]
+
+
 def test_cosine(spark):
     import numpy as np
 
@@ -151,6 +167,10 @@ def test_cosine(spark):
         scores = np.round(v.astype(float) @ v[q].astype(float), 6)
         want = sorted(range(300), key=lambda i: (-scores[i], i))[:5]
         assert [r.doc_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    assert [(r.query_id, r["rank"], r.doc_id, r.score) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [(r.query_id, r["rank"], r.doc_id, r.score) for r in sorted(in_rounds(semantic, df), key=lambda r: (r.query_id, r["rank"]))]
+    odd = df.unionByName(spark.createDataFrame([(1000, None), (1001, [1.0]), (1002, [9.0] * 9), (1003, [None] * 8), (1004, [float("nan")] * 8)], "doc_id long, embedding array<float>"))
+    again = semantic.cosine_top(odd.where("doc_id % 50 = 3 or doc_id > 999").withColumnRenamed("doc_id", "query_id"), odd, 5).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
     assert semantic.cosine_top(df.limit(0).withColumnRenamed("doc_id", "query_id"), df, 5).count() == 0
     assert semantic.valid(spark.createDataFrame([(1, [1.0]), (2, None), (3, [1.0, 0.0])], "doc_id long, embedding array<float>"), 2).count() == 1
 
