@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.storage import materialize
+from siftline.storage import materialize, release
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         small = joined.select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(
             joined.select("src", F.col("m").alias("dst"))
         )
-        e = materialize(small.where("src <> dst").distinct(), "components")
+        old, e = e, materialize(small.where("src <> dst").distinct(), "components")
+        release(old)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         if state == (now.n, now.h):
             break

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.config import DEFAULTS
-from siftline.storage import materialize
+from siftline.storage import bucketed, materialize, release
 
 
 def edges_between(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -24,29 +24,35 @@ def pagerank(
 
     Power iteration; what nodes without links have goes to all nodes alike. Ends when the ranks change
     by less than ``tolerance`` in all, never before ``iterations`` if that is None. One node has the
-    rank 1; no nodes give no rows. If all ranks are equal, all scores are 0. Each iteration is one
-    job: it writes the new ranks to the shared folder, and the numbers that the next one needs, the
-    rank without links and the change, are sums over that table.
+    rank 1; no nodes give no rows. If all ranks are equal, all scores are 0.
+
+    Edges are written once in buckets of their source, with its number of links, and ranks in as many
+    buckets of the node. So an iteration moves partial sums by target and nothing else. It is one job,
+    which writes the new ranks to the shared folder; the numbers that the next one needs, the rank
+    without links and the change, are sums over that table, and the ranks before are removed.
     """
     n = nodes.select("node").distinct().count()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("rank"), F.lit(0.0).alias("pagerank_score")).limit(0)
-    out = edges_between(nodes, links)
+    out = materialize(edges_between(nodes, links), "graph-edges")
     degree = out.groupBy("src").agg(F.count("*").alias("out"))
-    edges = materialize(out.join(degree, "src"), "graph-edges")
+    edges = bucketed(out.join(degree, "src"), "graph-edges", "src")
     state = nodes.select("node").distinct().join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", F.coalesce("out", F.lit(0)).alias("out"), F.lit(1.0 / n).alias("rank"))
-    state = materialize(state, "ranks")
+    state = bucketed(state, "ranks", "node")
+    release(out)
     loose = state.where("out = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(iterations if n > 1 else 0):
         base = (1.0 - damping) / n + damping * loose / n
         # partial sums within each task before the exchange, so a target of very many links is no hot key
         sent = edges.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         new = state.join(sent, "node", "left").select("node", "out", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-        state = materialize(new, "ranks")
+        old, state = state, bucketed(new, "ranks", "node")
+        release(old)
         sums = state.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("loose")).first()
-        state, loose = state.select("node", "out", "rank"), sums.loose
+        loose = sums.loose
         if tolerance is not None and sums.change < tolerance:
             break
+    release(edges)
     whole = state.agg(F.sum("rank").alias("s"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
     rank = F.col("rank") / whole.s
     spread = max((whole.hi - whole.lo) / whole.s, 1e-6)

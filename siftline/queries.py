@@ -328,9 +328,11 @@ def spell_vocabulary(spark, d):
     return _vocabulary(spark, d)
 
 
-@query(f"WITH {R.LOGGED} SELECT query_id, levenshtein(lower(query), lower(trim(query))) AS distance FROM a")
+@query(f"""WITH {_VOCABULARY}, x AS (SELECT DISTINCT word FROM qw) SELECT word, term, levenshtein(word, term) AS distance FROM x JOIN vocab ON abs(length(word) - length(term)) <= 2 WHERE levenshtein(word, term) <= 2""")
 def edit_distance(spark, d):
-    return logged(spark, d).select("query_id", F.levenshtein(F.lower("query"), F.lower(F.trim("query"))).cast("long").alias("distance"))
+    """All pairs of words of logged queries and terms of the collection that are within two edits of each other."""
+    words = logged(spark, d).select(F.explode(T.tokens(F.col("query"))).alias("word"))
+    return spell.near_words(words, _vocabulary(spark, d)).select("word", "term", F.col("d").cast("long").alias("distance"))
 
 
 @query(f"WITH {_VOCABULARY} SELECT word, correction FROM fix")

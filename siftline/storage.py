@@ -112,8 +112,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written in as many buckets of ``key`` as shuffles have partitions: joins of such tables by their keys move
+    nothing. ``release`` removes it."""
+    spark = df.sparkSession
+    label = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = os.path.join(shared_dir(spark), label)
+    df.write.bucketBy(partitions(spark), key).sortBy(key).option("path", path).format("parquet").saveAsTable(label)
+    written = spark.table(label)
+    written.written_to, written.label = path, label
+    if _SCOPES:
+        _SCOPES[-1].append(written)
+    return written
+
+
 def release(written: DataFrame) -> None:
     """Removes a table that ``materialize`` gave, once nothing reads it any more."""
+    if getattr(written, "label", None):
+        written.sparkSession.sql(f"DROP TABLE IF EXISTS {written.label}")
     Folder(written.sparkSession, written.written_to).remove()
 
 

@@ -7,7 +7,7 @@ from siftline.operators.cache import ResultCache, cache_key
 from siftline.operators.components import connected_components
 from siftline.operators.ranks import competition_places, number
 from siftline.sources import html, tables
-from siftline.storage import without_copies
+from siftline.storage import Folder, materialize, scope, shared_dir, without_copies
 from siftline.streaming import logs
 
 
@@ -24,6 +24,8 @@ def test_pagerank_golden(spark):
     got = {r.node: r.rank for r in graph.pagerank(nodes(spark, "ABCD"), e).collect()}
     for n, want in dict(A=0.3693233223, B=0.2045815282, C=0.3784761018, D=0.0476190476).items():
         assert abs(got[n] - want) < 1e-8
+    kept = Folder(spark, shared_dir(spark)).names()
+    assert sum(n.startswith("ranks_") for n in kept) == 1 and not any(n.startswith(("graph_edges", "graph-edges")) for n in kept)
     ring = graph.pagerank(nodes(spark, "XYZ"), links(spark, map(tuple, ["XY", "YZ", "ZX"]))).collect()
     assert all(abs(r.rank - 1 / 3) < 1e-12 and r.pagerank_score == 0 for r in ring)
     assert [r.rank for r in graph.pagerank(nodes(spark, "Q"), e).collect()] == [1.0] and graph.pagerank(nodes(spark, ""), e).count() == 0
@@ -89,6 +91,15 @@ def test_places_over_ranges_that_cut_groups_and_ties(spark):
     assert competition_places(df.limit(0), ["k"], [F.col("v")], "place").count() == 0
 
 
+def test_scopes_remove_what_is_made_in_them(spark):
+    outside = materialize(spark.range(5), "scoped")
+    with scope():
+        inside = materialize(spark.range(3), "scoped")
+        assert inside.count() == 3
+    names = Folder(spark, shared_dir(spark)).names()
+    assert outside.written_to.rpartition("/")[2] in names and inside.written_to.rpartition("/")[2] not in names
+
+
 def test_without_copies(spark):
     rows = [(1, "a"), (1, "a"), (2, None), (None, "x"), (None, "x")]
     assert sorted(map(str, without_copies(spark.createDataFrame(rows, "id long, t string"), "id").collect())) == sorted(map(str, spark.createDataFrame(rows, "id long, t string").distinct().collect()))
@@ -130,6 +141,13 @@ def test_corrections_against_brute_force(spark):
     v = spark.createDataFrame(list(vocab.items()), "term string, freq long")
     got = {r.word: r.correction for r in spell.correct_words(spark.createDataFrame([(w,) for w in words], "word string"), v).collect()}
     assert got == want
+    pairs = spell.near_words(spark.createDataFrame([(w,) for w in words], "word string"), v).collect()
+    assert {(r.word, r.term, r.d) for r in pairs} == {(w, x, levenshtein(w, x)) for w in words for x in vocab if levenshtein(w, x) <= 2} and len(pairs) == len({(r.word, r.term) for r in pairs})
+    long = "abcdefghij" * 400
+    odd = spark.createDataFrame([(long[:-1] + "z", 1), (long, 2), ("", 1), (None, 1)], "term string, freq long")
+    got = spell.correct_words(spark.createDataFrame([(long[:2000] + long[2002:],), ("xy",), (None,), ("",)], "word string"), odd).collect()
+    assert [(r.word == long[:2000] + long[2002:], r.correction == long) for r in got] == [(True, True)]
+    assert spark.range(1).select(F.size(spell.places_of(F.lit(long), 2))).first()[0] <= 75
     v = spark.createDataFrame([("machine", 9), ("learning", 9)], "term string, freq long")
     q = spark.createDataFrame([(1, "machne learing"), (2, "machine"), (3, ""), (4, None)], "query_id long, query string")
     assert [(r.query_id, r.correction) for r in spell.did_you_mean(q, v).collect()] == [(1, "machine learning")]
