@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.config import DEFAULTS, Settings
-from siftline.operators import analytics, graph, index, search, semantic, spell, suggest
+from siftline.operators import analytics, blocks, crawl, graph, index, search, semantic, spell, suggest
+from siftline.operators.ranks import competition_places
 from siftline.operators.cache import ResultCache, cache_key
 from siftline.operators.snippet import snippet
 from siftline.plans.parse import parse
-from siftline.storage import materialize
+from siftline.sources import tables
+from siftline.storage import materialize, shared_dir
 
+#: Searches and clicks that are kept before they are appended to the stored logs.
+LOGGED_TOGETHER = 1000
 METHODS = ("bm25", "tfidf", "semantic", "hybrid")
 _QUERY = "query_id long, query string"
 
@@ -24,38 +29,77 @@ class Engine:
     """Searches one collection of pages (docs) with its links and query log.
 
     The index, the vectors and the tables of suggestions and words are made once and written to the
-    shared folder; ``changed`` makes them anew and drops cached results.
+    shared folder; ``changed`` makes them anew and drops cached results. Searches and clicks are
+    appended to the tables query_log and click_log of ``folder``, LOGGED_TOGETHER rows at a time and
+    whenever they are read; by default the folder is one of its own in the shared folder.
     """
 
-    def __init__(self, docs: DataFrame, links: DataFrame, log: DataFrame | None = None, settings: Settings = DEFAULTS):
+    def __init__(self, docs: DataFrame, links: DataFrame, log: DataFrame | None = None, settings: Settings = DEFAULTS, folder: str | None = None):
         self.spark: SparkSession = docs.sparkSession
         self.settings = settings
         self.links = links
         self.cache = ResultCache(settings.cache_size, settings.cache_seconds)
-        self.searches: list[tuple] = []
-        self.clicks: list[tuple] = []
+        self.folder = folder or f"{shared_dir(self.spark)}/engine-{uuid.uuid4().hex}"
+        tables.create(self.spark, self.folder, ("query_log", "click_log"))
+        self._waiting: dict[str, list[tuple]] = {"query_log": [], "click_log": []}
+        self._typed: list[str] = []
         self.old_log = log
+        # numbers go on where the stored ones end
+        self._next = {name: (tables.read(self.spark, self.folder, name).agg(F.max("id")).first()[0] or 0) + 1 for name in self._waiting}
+        if log is not None:
+            self._next["query_log"] = max(self._next["query_log"], (log.agg(F.max("id")).first()[0] or 0) + 1)
         self.changed(docs)
 
     def changed(self, docs: DataFrame) -> None:
         self.docs = materialize(index.pages(docs), "pages")
         self.postings = materialize(index.postings(self.docs), "postings")
         self.lengths = materialize(index.doc_lengths(self.docs), "lengths")
+        self._index_blocks()
         self._suggestions = self._vocabulary = self._vectors = None
         self.cache.clear()
 
+    def _index_blocks(self) -> None:
+        folder = f"{self.folder}/blocks-{uuid.uuid4().hex}"
+        blocks.write(blocks.block_index(search.page_facts(self.docs, self.lengths), self.postings), folder)
+        self.blocks = blocks.read(self.spark, folder)
+
+    def _note(self, table: str, row: tuple) -> int:
+        number = self._next[table]
+        self._next[table] += 1
+        self._waiting[table].append((number, *row))
+        if len(self._waiting[table]) >= LOGGED_TOGETHER:
+            self.flush()
+        return number
+
+    def flush(self) -> None:
+        """Appends what was searched and clicked since the last time to the stored logs."""
+        for name, rows in self._waiting.items():
+            if rows:
+                tables.append(self.spark.createDataFrame(rows, tables.SCHEMAS[name]), self.folder, name)
+                self._waiting[name] = []
+
     @property
     def log(self) -> DataFrame:
-        """The query log: the given one and the searches of this object."""
-        schema = "id long, query string, query_normalized string, results_count int, page int, response_time_ms double, cache_hit boolean, ranking_method string, searched_at timestamp"
-        own = self.spark.createDataFrame(self.searches, schema)
+        """The query log: the given one and the stored searches."""
+        self.flush()
+        own = tables.read(self.spark, self.folder, "query_log")
         return own if self.old_log is None else analytics.entries(self.old_log).select(own.columns).unionByName(own)
 
+    @property
+    def clicks(self) -> DataFrame:
+        self.flush()
+        return tables.read(self.spark, self.folder, "click_log")
+
     @property
     def suggestions(self) -> DataFrame:
         if self._suggestions is None:
             known = suggest.suggestions(self.log, self.docs, seeds=self.settings.seed_phrases)
             self._suggestions = materialize(known, "suggestions")
+            self._typed = []
+        elif self._typed:  # all searches since the last time at once
+            rows = [(q, k) for k, q in enumerate(self._typed)]
+            self._suggestions = materialize(suggest.add_queries(self._suggestions, self.spark.createDataFrame(rows, "query string, at long")), "suggestions")
+            self._typed = []
         return self._suggestions
 
     @property
@@ -95,7 +139,7 @@ class Engine:
                 kept = near.join(asked, "query_id").join(self.docs.select("doc_id", "domain"), "doc_id").where("domain ILIKE concat('%', site, '%')")
                 near = near.join(asked, "query_id", "left_anti").unionByName(search.top(kept.select("query_id", "doc_id", "score"), pool))
             return search.rank_fusion(near, words, limit=limit, settings=self.settings).select("query_id", "rank", "doc_id", "score")
-        return search.search(queries, self.docs, self.postings, self.lengths, method=method, limit=limit, domain=domain, settings=self.settings)
+        return search.search(queries, self.docs, self.postings, self.lengths, blocks=self.blocks, method=method, limit=limit, domain=domain, settings=self.settings)
 
     def search(self, query: str, page: int = 1, per_page: int = 10, ranking: str = "bm25", domain: str | None = None) -> dict:
         """One page of results with snippets, a correction, and the number of results, at most search_limit."""
@@ -122,10 +166,10 @@ class Engine:
             }
             self.cache.put(key, found)
             if self._suggestions is not None:
-                self._suggestions = suggest.add_queries(self._suggestions, self.spark.createDataFrame([(query, 0)], "query string, at long"))
+                self._typed.append(query)
         ms = (time.time() - began) * 1000
-        self.searches.append((-1 - len(self.searches), query, query.strip().lower(), found["total_results"], page, ms, hit, ranking, datetime.now(timezone.utc)))
-        return {**found, "cache_hit": hit, "response_time_ms": round(ms, 2)}
+        number = self._note("query_log", (query, query.strip().lower(), found["total_results"], page, ms, hit, ranking, datetime.now(timezone.utc)))
+        return {**found, "query_id": number, "cache_hit": hit, "response_time_ms": round(ms, 2)}
 
     def autocomplete(self, prefix: str, limit: int = 8) -> list[str]:
         asked = self.spark.createDataFrame([(prefix,)], "prefix string")
@@ -142,11 +186,37 @@ class Engine:
         ranks = materialize(ranks, "pagerank")
         joined = self.docs.drop("pagerank_score").join(ranks.select(F.col("node").alias("url"), "pagerank_score"), "url", "left")
         self.docs = materialize(joined.select(self.docs.columns), "pages")
+        self._index_blocks()
         self.cache.clear()
         return [(r.node, r.rank) for r in ranks.orderBy(F.col("rank").desc(), "node").limit(5).collect()]
 
     def record_click(self, query_id: int, doc_id: int, position: int, url: str) -> None:
-        self.clicks.append((len(self.clicks), query_id, doc_id, position, url, datetime.now(timezone.utc)))
+        self._note("click_log", (query_id, doc_id, position, url, datetime.now(timezone.utc)))
+
+    def crawl(self, seeds: list[str], pages: DataFrame, rules: DataFrame, *, max_depth: int = 3, max_pages: int | None = 100) -> dict:
+        """Crawls from ``seeds`` over fetched pages (see ``crawl_pages``), stores the pages and links, and makes the index
+        anew. Gives the number of urls of each outcome."""
+        asked = self.spark.createDataFrame([(u,) for u in seeds], "url string")
+        done = crawl.crawl_pages(asked, pages, rules, self.docs, max_depth=max_depth, max_pages=max_pages)
+        known = self.docs.select("url", "doc_id", "domain", "language", "pagerank_score", "crawled_at")
+        fresh = done.outcomes.where("outcome = 'crawled'").select("url", F.current_timestamp().alias("now"))
+        top_id = self.docs.agg(F.max("doc_id")).first()[0] or 0
+        merged = materialize(done.docs.join(known, "url", "left").join(fresh, "url", "left"), "crawled-docs")
+        new = competition_places(merged.where("doc_id is null").select("url"), [], [F.col("url")], "no", descending=False)
+        docs = merged.join(new, "url", "left").select(
+            F.coalesce("doc_id", F.col("no") + top_id).alias("doc_id"), "url", "title", "description", "body", F.coalesce("domain", graph.netloc(F.col("url"))).alias("domain"),
+            "language", F.col("word_count").cast("int").alias("word_count"), "pagerank_score", F.coalesce("now", "crawled_at").alias("crawled_at"),
+        )
+        links = self.links.select("source_url", "target_url", "anchor_text").unionByName(done.links).groupBy("source_url", "target_url").agg(F.min("anchor_text").alias("anchor_text"))
+        self.links = materialize(links, "links")
+        self.changed(docs)
+        return {r.outcome: r["count"] for r in done.outcomes.groupBy("outcome").count().collect()}
+
+    @classmethod
+    def seeded(cls, pages: DataFrame, edges: DataFrame, **options) -> Engine:
+        """An engine over a first collection: see ``seed``."""
+        docs, links = crawl.seed(pages, edges)
+        return cls(docs, links, **options)
 
     def analytics(self) -> dict:
         log = self.log

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.config import DEFAULTS
-from siftline.storage import bucketed, materialize, release
+from siftline.operators.ranks import competition_places
+from siftline.storage import as_files, bucketed, materialize, release
 
 
 def edges_between(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -53,6 +54,7 @@ def pagerank(
         if tolerance is not None and sums.change < tolerance:
             break
     release(edges)
+    state = as_files(state)
     whole = state.agg(F.sum("rank").alias("s"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
     rank = F.col("rank") / whole.s
     spread = max((whole.hi - whole.lo) / whole.s, 1e-6)
@@ -113,8 +115,6 @@ def crawl(seeds: DataFrame, links: DataFrame, fetched: DataFrame, *, max_depth:
         done = own if done is None else done.unionByName(own)
         pages = own.where("outcome = 'crawled'").select(F.col("url").alias("source_url"))
         level = links.join(pages, "source_url", "left_semi").select(F.trim("target_url").alias("url")).where("url <> ''").distinct().join(done, "url", "left_anti")
-    from siftline.operators.ranks import competition_places
-
     order = [F.when(F.col("outcome") == "crawled", F.col(c)) for c in ("depth", "url")]
     numbered = competition_places(done, [], order, "crawl_no", descending=False)
     numbered = numbered.select("url", "depth", "outcome", F.when(F.col("outcome") == "crawled", F.col("crawl_no")).alias("crawl_no"))

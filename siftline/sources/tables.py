@@ -14,10 +14,10 @@ SCHEMAS = {
 }
 
 
-def create(spark: SparkSession, folder: str) -> None:
-    """Writes each table of the engine that isn't there yet, empty."""
-    for name, schema in SCHEMAS.items():
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}")
+def create(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(SCHEMAS)) -> None:
+    """Writes each table of the engine, or of ``names``, that isn't there yet, empty."""
+    for name in names:
+        spark.createDataFrame([], SCHEMAS[name]).write.mode("ignore").parquet(f"{folder}/{name}")
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -126,6 +126,15 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return written
 
 
+def as_files(written: DataFrame) -> DataFrame:
+    """What ``bucketed`` gave, by its files alone: its name leaves the catalog."""
+    spark = written.sparkSession
+    read = spark.read.schema(written.schema).parquet(written.written_to)
+    spark.sql(f"DROP TABLE IF EXISTS {written.label}")
+    written.label, read.written_to = None, written.written_to
+    return read
+
+
 def release(written: DataFrame) -> None:
     """Removes a table that ``materialize`` gave, once nothing reads it any more."""
     if getattr(written, "label", None):
