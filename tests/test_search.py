@@ -192,7 +192,7 @@ def test_engine(spark, docs):
     assert [r["doc_id"] for r in first["results"]] == [i for i, _ in python_bm25("sorting")] and not first["cache_hit"]
     assert "<mark>" in first["results"][0]["snippet"] and e.search(" SORTING ")["cache_hit"]
     assert e.spellcheck("memry") == "memory" and e.spellcheck("memory") is None
-    assert e.autocomplete("sort")[0] == "sorting"
+    assert e.autocomplete("sort")[0] == "SORTING"  # the form that was searched last
     hybrid = e.search("sorting python", ranking="hybrid")["results"]
     assert {r["doc_id"] for r in hybrid} == {1, 2, 3, 4} and all(0 < r["score"] <= 1 for r in hybrid)
     assert [r["doc_id"] for r in e.search("sorting site:b.example", ranking="hybrid")["results"]][0] == 3
@@ -202,5 +202,38 @@ def test_engine(spark, docs):
     a = e.analytics()
     assert a["total_searches"] == 4 and a["unique_queries"] == 3 and a["top_queries"][0]["query"] == "sorting"
     assert e.stats()["total_links"] == 2
+    e.record_click(first["query_id"], 1, 1, "https://a.example/1")
+    assert [(r.query_id, r.doc_id) for r in e.clicks.collect()] == [(first["query_id"], 1)]
     with pytest.raises(ValueError):
         e.search("", page=0)
+    again = Engine(docs, links, folder=e.folder)  # the stored logs outlive the object
+    assert again.log.count() == 4 and again.clicks.count() == 1 and again.search("python")["query_id"] == 5
+    assert e.autocomplete("memo") == [] and e.search("memory") and e.autocomplete("memo") == ["memory"]
+
+
+def test_crawl_and_seed(spark, docs):
+    page = lambda title, body, *to: f"<html><head><title>{title}</title></head><body><p>{body}</p>" + "".join(f'<a href="{t}">{t}</a>' for t in to) + "</body></html>"
+    pages = [
+        ("https://n.example/", page("New start", "fresh words on graphs", "/a", "/private/x", "https://b.example/2", "/gone"), 200, "text/html"),
+        ("https://n.example/a", page("Page a", "more on graphs", "/", "/img"), 200, None),
+        ("https://n.example/private/x", page("Secret", "hidden"), 200, "text/html"),
+        ("https://n.example/img", "binary", 200, "image/png"),
+        ("https://n.example/err", page("Error", "x"), 500, "text/html"),
+        ("https://b.example/2", page("", "operating systems anew"), 200, "text/html"),
+        ("https://n.example/a", page("Page a", "more on graphs", "/", "/img"), 200, None),
+        (None, "x", 200, None),
+    ]
+    fetched = spark.createDataFrame(pages, "url string, html string, status int, content_type string")
+    rules = spark.createDataFrame([("https://n.example", "*", 0, False, "/private")], "domain_key string, agent string, ord int, allow boolean, path_prefix string")
+    e = Engine(docs, spark.createDataFrame(LINKS, SCHEMAS["links"]))
+    assert e.crawl(["https://n.example/", " "], fetched, rules) == {"crawled": 3, "denied": 1, "failed": 1, "empty": 1}
+    rows = {r.url: r for r in e.docs.collect()}
+    assert len(rows) == 6 and rows["https://b.example/2"].doc_id == 2 and rows["https://b.example/2"].title == "Operating systems" and rows["https://b.example/2"].body == "operating systems anew"
+    assert {rows["https://n.example/"].doc_id, rows["https://n.example/a"].doc_id} == {5, 6} and rows["https://n.example/a"].domain == "n.example"
+    assert {r["url"] for r in e.search("graphs")["results"]} == {"https://n.example/", "https://n.example/a"}
+    assert e.links.where("source_url = 'https://n.example/a'").count() == 2
+
+    first = spark.createDataFrame([("https://x.example/1", "One", "x.example", None, "first words here", 9.9), ("https://x.example/2", "Two", None, "", None, 0.1), ("https://x.example/1", "Zwei", "x.example", None, "b", 0.0), (" ", "t", "", "", "", 0.0)], "url string, title string, domain string, description string, body string, pagerank_score double")
+    s = Engine.seeded(first, spark.createDataFrame([("https://x.example/1", "https://x.example/2", "a"), ("https://x.example/1", "https://x.example/2", None)], "source_url string, target_url string, anchor_text string"))
+    got = {r.doc_id: (r.url, r.title, r.word_count, round(r.pagerank_score, 6)) for r in s.docs.collect()}
+    assert got == {1: ("https://x.example/1", "One", 3, 0.0), 2: ("https://x.example/2", "Two", 0, 1.0)} and s.links.count() == 1
