@@ -5,18 +5,21 @@ Every query runs over its whole tables. Batches of searches take every different
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline import golden
 from siftline import reference_sql as R
 from siftline.config import DEFAULTS
 from siftline.functions import text as T
-from siftline.operators import analytics, blocks, graph, index, search, semantic, snippet, spell, suggest
+from siftline.operators import analytics, blocks, crawl, graph, index, search, semantic, snippet, spell, suggest
 from siftline.plans.parse import parse
-from siftline.sources import html
-from siftline.storage import kept, materialize, table
+from siftline.sources import html, tables
+from siftline.storage import kept, materialize, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -282,6 +285,35 @@ def build_embeddings(spark, d):
     return semantic.build(index.load_pages(spark, d))
 
 
+@query("""SELECT vec_id AS doc_id, len(e) AS n, round(list_sum(e), 6) AS total FROM (SELECT vec_id,
+CASE WHEN vec_id % 6 = 0 THEN embedding[1:10] WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 4 = 0 THEN list_append(embedding[2:], NULL) ELSE embedding END::DOUBLE[] AS e FROM embeddings)
+WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL)) = 0""")
+def vector_load(spark, d):
+    """The vectors that can be used, where some are too short, missing, or hold nulls."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    e, n = F.col("embedding"), F.col("doc_id")
+    bad = F.when(n % 6 == 0, F.slice(e, 1, 10)).when(n % 5 == 0, F.lit(None)).when(n % 4 == 0, F.concat(F.slice(e, 2, 63), F.array(F.lit(None).cast("float")))).otherwise(e)
+    return _vector_facts(semantic.valid(v.withColumn("embedding", bad), 64))
+
+
+def _vector_facts(v: DataFrame) -> DataFrame:
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return v.select("doc_id", F.size("embedding").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
+@query("""SELECT vec_id AS doc_id, 64::BIGINT AS n, round(CASE WHEN vec_id % 7 = 0 THEN -list_sum(embedding::DOUBLE[]) ELSE list_sum(embedding::DOUBLE[]) END, 6) AS total FROM embeddings WHERE vec_id % 11 <> 0""")
+def vector_put(spark, d):
+    """The vectors after some were changed, those twice of which the last counts, and some deleted."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    n = F.col("doc_id")
+    turned = F.transform("embedding", lambda x: -x)
+    changes = [
+        v.where(n % 7 == 0).withColumn("changed_at", F.lit(1)), v.where(n % 7 == 0).withColumns({"embedding": turned, "changed_at": F.lit(2)}),
+        v.where(n % 11 == 0).withColumns({"embedding": F.lit(None).cast("array<float>"), "changed_at": F.lit(3)}),
+    ]
+    return _vector_facts(semantic.put(v, reduce(DataFrame.unionByName, changes)))
+
+
 # --- suggestions and spelling ---------------------------------------------------------------------
 
 _SEEDS = ", ".join(f"('{p}', 3, [2, {i}, 0]::BIGINT[])" for i, p in enumerate(DEFAULTS.seed_phrases))
@@ -310,6 +342,15 @@ def autocomplete(spark, d):
     return suggest.autocomplete(_suggestions(spark, d), prefixes)
 
 
+@query(f"""WITH {_SUGGESTIONS}, more(phrase, weight, placed) AS (SELECT phrase, weight, [-1]::BIGINT[] FROM k UNION ALL SELECT query, 1, [id]::BIGINT[] FROM l WHERE NOT coalesce(cache_hit, false) AND query <> '')
+SELECT lower(trim(phrase)) AS key, max_by(trim(phrase), placed) AS phrase, sum(weight)::BIGINT AS weight FROM more WHERE phrase <> '' GROUP BY 1""")
+def suggestion_add(spark, d):
+    """The suggestions after each logged search that didn't come from the cache is added, whether it found anything or not."""
+    log = analytics.entries(table(spark, d, "query_log"))
+    new = log.where("not coalesce(cache_hit, false) and query <> ''").select("query", F.col("id").alias("at"))
+    return suggest.add_queries(_suggestions(spark, d), new)
+
+
 _COMMON = ", ".join(f"('{w}')" for w in DEFAULTS.common_words)
 _VOCABULARY = f"""{R.POSTINGS}, {R.LOGGED}, df AS (SELECT term, count(*) AS freq FROM p GROUP BY term),
 vocab AS (SELECT term, freq FROM df UNION ALL SELECT w, 5 FROM (VALUES {_COMMON}) c(w) WHERE w NOT IN (SELECT term FROM df)),
@@ -391,10 +432,22 @@ def pagerank_top(spark, d):
     return pagerank_fixed_iters(spark, d).orderBy(F.col("rank").desc(), "node").limit(5)
 
 
-@query()
+def _until_settled(k: int) -> str:
+    """Iterations that leave the ranks as they are once they changed by less than the tolerance."""
+    first = ", q0 AS MATERIALIZED (SELECT node, deg, rank, false AS done FROM r0)"
+    return first + "".join(
+        f""", n{i} AS MATERIALIZED (SELECT r.node, r.deg, r.rank AS old, r.done, CASE WHEN r.done THEN r.rank ELSE 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(g.got, 0) + z.loose / c.n) END AS rank
+FROM q{i - 1} r LEFT JOIN (SELECT e.dst, sum(x.rank / x.deg) AS got FROM e JOIN q{i - 1} x ON x.node = e.src GROUP BY e.dst) g ON g.dst = r.node, c, (SELECT coalesce(sum(rank) FILTER (deg = 0), 0) AS loose FROM q{i - 1}) z),
+q{i} AS MATERIALIZED (SELECT node, deg, rank, done OR s.change < {DEFAULTS.pagerank_tolerance} AS done FROM n{i}, (SELECT sum(abs(rank - old)) AS change FROM n{i}) s)"""
+        for i in range(1, k + 1)
+    )
+
+
+@query(f"""WITH {_GRAPH}{_until_settled(DEFAULTS.pagerank_iterations)}, w AS (SELECT sum(rank) AS s, min(rank) AS lo, max(rank) AS hi FROM q{DEFAULTS.pagerank_iterations})
+SELECT node, round(rank / w.s, 9) AS rank, round((rank - w.lo) / w.s / greatest((w.hi - w.lo) / w.s, 1e-6), 6) AS pagerank_score FROM q{DEFAULTS.pagerank_iterations}, w""")
 def pagerank_converged(spark, d):
     """Ranks once they no longer change, to the tolerance."""
-    return _pagerank(spark, d)
+    return _pagerank(spark, d).select("node", F.round("rank", 9).alias("rank"), F.round("pagerank_score", 6).alias("pagerank_score"))
 
 
 @query(f"""WITH {R.DOCS}, e AS (SELECT DISTINCT source_url, target_url FROM links WHERE source_url <> target_url)
@@ -415,32 +468,93 @@ def bfs_frontier(spark, d):
     return graph.frontier(docs.where(F.col("doc_id") == first).select("url"), table(spark, d, "links"))
 
 
-@query()
+@query(f"""WITH {R.DOCS}, f AS (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM d WHERE doc_id = (SELECT min(doc_id) FROM d)),
+k AS (SELECT source_url, trim(target_url) AS t FROM links, f WHERE trim(target_url) <> '' AND (regexp_extract(trim(target_url), '^[a-z]+://([^/?#]*)', 1) = f.host OR contains(regexp_extract(trim(target_url), '^[a-z]+://([^/?#]*)', 1), 'k'))),
+l0 AS (SELECT url, 0 AS depth FROM f),
+l1 AS (SELECT DISTINCT t AS url, 1 AS depth FROM k JOIN l0 ON k.source_url = l0.url WHERE t NOT IN (SELECT url FROM l0)), s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1),
+l2 AS (SELECT DISTINCT t AS url, 2 AS depth FROM k JOIN l1 ON k.source_url = l1.url WHERE t NOT IN (SELECT url FROM s1)), s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM l2),
+l3 AS (SELECT DISTINCT t AS url, 3 AS depth FROM k JOIN l2 ON k.source_url = l2.url WHERE t NOT IN (SELECT url FROM s2)) SELECT * FROM s2 UNION ALL SELECT * FROM l3""")
+def bfs_on_hosts(spark, d):
+    """What a crawl reaches that stays on the host of its first page and on hosts that hold a certain part."""
+    docs = index.load_pages(spark, d)
+    first = docs.where(F.col("doc_id") == docs.agg(F.min("doc_id")).first()[0]).select("url", graph.netloc(F.col("url")).alias("host")).first()
+    return graph.frontier(spark.createDataFrame([(first.url,)], "url string"), table(spark, d, "links"), first_host=first.host, hosts=("k",))
+
+
+#: The pages that a crawl may number in the query below.
+BUDGET = 60
+
+
+@query(f"""WITH {R.DOCS}, k0 AS (SELECT url, doc_id % 13 <> 4 AS allowed, CASE WHEN doc_id % 11 = 3 THEN 404 WHEN doc_id % 17 = 5 THEN NULL ELSE 200 END AS status, title || body <> '' AND doc_id % 19 <> 7 AS has_text FROM d),
+k AS (SELECT url, CASE WHEN NOT allowed THEN 'denied' WHEN coalesce(status, 500) >= 400 THEN 'failed' WHEN NOT has_text THEN 'empty' ELSE 'crawled' END AS outcome FROM k0),
+t AS (SELECT source_url, trim(target_url) AS url FROM links WHERE trim(target_url) <> ''),
+l0 AS (SELECT s.url, 0 AS depth, coalesce(k.outcome, 'failed') AS outcome FROM (SELECT DISTINCT url FROM d WHERE doc_id IN (SELECT doc_id FROM d ORDER BY doc_id LIMIT 5)) s LEFT JOIN k USING (url)), s0 AS (SELECT * FROM l0),
+{",".join(f"""l{i} AS (SELECT n.url, {i} AS depth, coalesce(k.outcome, 'failed') AS outcome FROM (SELECT DISTINCT t.url FROM t JOIN l{i - 1} p ON p.url = t.source_url AND p.outcome = 'crawled' WHERE t.url NOT IN (SELECT url FROM s{i - 1})) n LEFT JOIN k USING (url)),
+s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT * FROM l{i})""" for i in (1, 2, 3))},
+n AS (SELECT *, CASE WHEN outcome = 'crawled' THEN row_number() OVER (PARTITION BY outcome ORDER BY depth, url) END AS no FROM s3),
+z AS (SELECT depth, url FROM n WHERE no = {BUDGET})
+SELECT n.url, n.depth, CASE WHEN (n.depth, n.url) > (SELECT (depth, url) FROM z) THEN 'queued' ELSE n.outcome END AS outcome, CASE WHEN (n.depth, n.url) > (SELECT (depth, url) FROM z) THEN NULL ELSE n.no END AS crawl_no FROM n""")
 def crawl_outcomes(spark, d):
-    """A crawl of the parsed pages from the first page of docs, with what becomes of each url."""
+    """A crawl from the first five pages of docs with what becomes of each url: some are denied by rules, some fail or
+    don't answer, some are empty, and there is a budget of pages."""
     docs = index.load_pages(spark, d)
-    known = docs.select("url", (F.concat("title", "body") != "").alias("has_text")).withColumns({"allowed": F.lit(True), "status": F.lit(200)})
-    first = docs.agg(F.min("doc_id")).first()[0]
-    return graph.crawl(docs.where(F.col("doc_id") == first).select("url"), table(spark, d, "links"), known)
+    n = F.col("doc_id")
+    known = docs.select("url", (n % 13 != 4).alias("allowed"), F.when(n % 11 == 3, 404).when(n % 17 == 5, F.lit(None)).otherwise(200).alias("status"), ((F.concat("title", "body") != "") & (n % 19 != 7)).alias("has_text"))
+    first = docs.orderBy("doc_id").limit(5).select("url")
+    return graph.crawl(first, table(spark, d, "links"), known, max_pages=BUDGET)
+
+
+@query(f"""WITH {R.DOCS}, n AS (SELECT url, title, domain, description, body FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY title, coalesce(domain, ''), description, body) AS no FROM d WHERE trim(url) <> '') WHERE no = 1)
+SELECT row_number() OVER (ORDER BY url) AS doc_id, url, title, description, coalesce(domain, '') AS domain, {T.word_count_sql("body")}::INTEGER AS word_count FROM n""")
+def seed_load(spark, d):
+    """The pages of docs as a first collection: numbered anew, words counted, ranked by their links."""
+    docs, _ = crawl.seed(table(spark, d, "docs").select("url", "title", "domain", "description", "body"), table(spark, d, "links"))
+    return docs.select("doc_id", "url", "title", "description", "domain", "word_count")
 
 
 # --- pages ----------------------------------------------------------------------------------------
 
 
-@query()
+def as_html(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, url, html, status, content_type, links) of the parsed pages: HTML that holds their texts and links, with
+    navigation, scripts and comments around them; some are no HTML, some weren't fetched."""
+    p = table(spark, d, "parsed_html").dropDuplicates(["page_id"])
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    anchors = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<a class="x" href="'), safe(x["target_url"]), F.lit('">'), safe(x["anchor"]), F.lit("</a>"))), "\n")
+    lines = F.array_join(F.transform(F.split(F.coalesce("body_text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), safe(x), F.lit("</p>"))), "")
+    html_ = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>"), safe(F.col("title")), F.lit('</title><meta name="description" content="'), safe(F.col("description")),
+        F.lit('"><script>if (a < b) { document.write("<p>no</p>"); }</script></head><body><!-- <p>no</p> --><nav>menu <a href="mailto:a@b.example">mail</a></nav>'), lines, F.lit("<div>"),
+        F.coalesce(anchors, F.lit("")), F.lit("</div><footer>foot</footer></body></html>"),
+    )
+    n = F.col("page_id")
+    status = F.when(n % 23 == 1, 503).when(n % 29 == 2, F.lit(None)).otherwise(200)
+    kind = F.when(n % 19 == 3, F.lit("image/png")).when(n % 7 == 0, F.lit(None)).otherwise(F.lit("text/html; charset=utf-8"))
+    return p.select("page_id", "url", html_.alias("html"), status.alias("status"), kind.alias("content_type"))
+
+
+#: p: each parsed page once; w: white space made one space, none around; t, b, a: what the parser finds.
+_HTML = rf"""p AS (SELECT page_id, any_value(url) AS url, any_value(coalesce(title, '')) AS title, any_value(coalesce(description, '')) AS description, any_value(coalesce(body_text, '')) AS body, any_value(links) AS links FROM parsed_html GROUP BY page_id),
+h AS (SELECT *, trim(regexp_replace(array_to_string(list_concat([title], string_split(body, chr(10)), list_transform(coalesce(links, []), lambda x: coalesce(x.anchor, ''))), ' '), '{T.SPACE_SQL}', ' ', 'g')) AS words FROM p)"""
+
+
+@query("""SELECT DISTINCT page_id FROM parsed_html WHERE page_id % 23 <> 1 AND page_id % 29 <> 2 AND page_id % 19 <> 3""")
+def fetch_filter(spark, d):
+    """The pages that were fetched as HTML."""
+    return html.fetched(as_html(spark, d)).select("page_id")
+
+
+@query(f"""WITH {_HTML} SELECT page_id, url, {T.stripped_sql("title")} AS title, {T.stripped_sql("description")} AS description, words AS body_text, len(list_filter(string_split(words, ' '), lambda w: w <> ''))::INTEGER AS word_count FROM h""")
 def html_pages(spark, d):
-    """The texts of documents, some with markup, parsed as pages."""
-    docs = table(spark, d, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
-    url = F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"))
-    return html.parse_html(docs, "doc_id", url, F.col("text")).withColumn("links", F.to_json("links"))
+    """The parsed pages as HTML, parsed again: titles, descriptions and texts without scripts, navigation and footers."""
+    return html.parse_html(as_html(spark, d), "page_id", F.col("url"), F.col("html")).drop("links")
 
 
-@query("""WITH p AS (SELECT DISTINCT * FROM parsed_html), l AS (SELECT url AS source_url, unnest(links) AS l, unnest(range(len(links))) AS ord FROM p)
-SELECT source_url, l.target_url AS target_url, arg_min(l.anchor, (ord, l.anchor)) AS anchor_text FROM l GROUP BY ALL""")
+@query(f"""WITH {_HTML}, l AS (SELECT url AS source_url, unnest(links) AS l, unnest(range(len(links))) AS ord FROM p)
+SELECT source_url, regexp_replace(trim(l.target_url), '#.*$', '') AS target_url, arg_min({T.stripped_sql("coalesce(l.anchor, '')")}, ord) AS anchor_text FROM l WHERE trim(l.target_url) LIKE 'http%' GROUP BY ALL""")
 def html_links(spark, d):
-    """The links of the parsed pages, each pair of pages once, with its first anchor on the page."""
-    parsed = table(spark, d, "parsed_html").dropDuplicates(["page_id"]).withColumn("links", F.transform("links", lambda x: F.struct(x["target_url"].alias("target_url"), x["anchor"].alias("anchor_text"))))
-    return html.first_links(html.links_of(parsed), "ord")
+    """The links of the parsed pages, read from their HTML: each pair of pages once, with its first anchor on the page."""
+    return html.first_links(html.links_of(html.parse_html(as_html(spark, d), "page_id", F.col("url"), F.col("html"))), "ord")
 
 
 @query(r"SELECT DISTINCT doc_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc FROM docs WHERE url IS NOT NULL")
@@ -462,7 +576,7 @@ def robots_filter(spark, d):
     key = F.regexp_extract("target_url", "^([a-z]+://[^/?#]*)", 1)
     rules = spark.createDataFrame(_ROBOTS, "agent string, ord int, allow boolean, path_prefix string")
     hosts = links.select(key.alias("domain_key")).distinct()
-    own = hosts.crossJoin(rules).where((F.col("agent") != "siftline") | F.col("domain_key").startswith("https://e"))
+    own = hosts.withColumn("agent", F.explode(F.array(*[F.lit(a) for a in sorted({r[0] for r in _ROBOTS})]))).join(F.broadcast(rules), "agent").where((F.col("agent") != "siftline") | F.col("domain_key").startswith("https://e"))
     return html.allowed(links.select(F.col("target_url").alias("url")), own)
 
 
@@ -505,6 +619,25 @@ def top_queries(spark, d):
     return analytics.top_queries(_log(spark, d))
 
 
+@query("""SELECT id, query, results_count, epoch_us(searched_at) AS searched_us FROM query_log
+UNION ALL SELECT id + 1000000, query, results_count, epoch_us(searched_at) FROM query_log WHERE results_count = 0""")
+def log_append(spark, d):
+    """A stored query log to which the given log was appended, and then a part of it under other numbers."""
+    log, folder = table(spark, d, "query_log"), f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    tables.create(spark, folder, ("query_log",))
+    tables.append(log, folder, "query_log")
+    tables.append(log.where("results_count = 0").withColumn("id", F.col("id") + 1_000_000), folder, "query_log")
+    return tables.read(spark, folder, "query_log").select("id", "query", "results_count", F.unix_micros("searched_at").alias("searched_us"))
+
+
+@query(f"""WITH {R.LOGGED}, c AS (SELECT query_id, count(*) AS n FROM (SELECT DISTINCT query_id, doc_id FROM results WHERE ranking_method = 'bm25' AND rank <= 2) GROUP BY query_id)
+SELECT query_normalized AS query, count(*) AS searches, coalesce(sum(c.n), 0)::BIGINT AS clicks, round(coalesce(sum(c.n), 0)::DOUBLE / count(*), 4) AS ctr FROM l LEFT JOIN c ON c.query_id = l.id GROUP BY 1""")
+def click_rates(spark, d):
+    """Clicks per search of each query, with clicks on the first two results of each query of results."""
+    clicks = table(spark, d, "results").where("ranking_method = 'bm25' and rank <= 2").select("query_id", "doc_id").distinct()
+    return analytics.click_rates(_log(spark, d), clicks)
+
+
 @query(f"WITH {R.LOGGED} SELECT query_normalized AS query, round(100.0::DOUBLE * count(*) FILTER (results_count = 0) / count(*), 2) AS zero_result_rate_pct FROM l GROUP BY 1")
 def zero_result_rate(spark, d):
     own = _log(spark, d).groupBy(F.col("query_normalized").alias("query"))
@@ -516,3 +649,7 @@ def zero_result_rate(spark, d):
 def system_stats(spark, d):
     docs = index.load_pages(spark, d)
     return analytics.system_stats(docs, index.distinct_terms(docs), table(spark, d, "links"), _log(spark, d))
+
+
+QUERIES |= golden.QUERIES
+SQL |= golden.SQL
