@@ -1,9 +1,12 @@
 """Problem 8: the reading level of each text.
 
 Smoothed unigram language models (Collins-Thompson and Callan 2004): one for each level of each
-language, trained on graded samples. Every sentence goes to the level under which its words are
-likeliest; the text has the level of most of its sentences. The language is the one whose models
-know most of the text's words, since stated languages are often wrong.
+language, trained on graded samples. Every sentence goes to the level of highest posterior: the prior
+of the level, its share of the language's samples, times the likelihood of the sentence's words. Words
+that a level's samples lack have smoothed counts; words that the language's samples lack, or one of
+them alone has, are one word of the model like others. The text has the level of most of its
+sentences, as it may be written in several. The language is the one whose models know most of the
+text's words, since stated languages are often wrong.
 """
 
 from __future__ import annotations
@@ -58,7 +61,9 @@ def train(samples: list[tuple[str, int, str]]) -> dict:
         for w, n in holders[lang].items():
             if n >= HOLDERS:
                 vocabulary.setdefault(w, len(vocabulary))
+    samples_of = Counter((lang, level) for lang, level, _ in samples)
     known = np.zeros((len(langs), len(vocabulary) + 1), bool)
+    prior = np.zeros((len(langs), len(levels)))
     likely = np.zeros((len(langs), len(vocabulary) + 1, len(levels)))
     for i, lang in enumerate(langs):
         own = [w for w, n in holders[lang].items() if n >= HOLDERS]
@@ -66,9 +71,12 @@ def train(samples: list[tuple[str, int, str]]) -> dict:
         known[i, at] = True
         for j, level in enumerate(levels):
             c = np.array([counts[lang][level][w] for w in own], float) + SMOOTHING
-            likely[i, at, j] = np.log(c / c.sum()) if len(c) else 0
+            unseen = sum(counts[lang][level].values()) - c.sum() + SMOOTHING * (len(c) + 1)
+            likely[i, :, j] = np.log(unseen / (c.sum() + unseen))  # of any other word
+            likely[i, at, j] = np.log(c / (c.sum() + unseen))
+            prior[i, j] = np.log((samples_of[lang, level] + SMOOTHING) / sum(samples_of[lang, v] + SMOOTHING for v in levels))
     typical = [sum(easy[v]) / len(easy[v]) for v in levels]
-    return {"langs": langs, "levels": levels, "words": vocabulary, "known": known, "likely": likely, "lix": typical}
+    return {"langs": langs, "levels": levels, "words": vocabulary, "known": known, "likely": likely, "prior": prior, "lix": typical}
 
 
 def judge(texts: list[str | None], model: dict) -> list[tuple[str | None, int | None, float | None, int]]:
@@ -95,6 +103,7 @@ def judge(texts: list[str | None], model: dict) -> list[tuple[str | None, int |
     lang_of = np.add.reduceat(known, first, axis=1).argmax(axis=0)
     lang = np.repeat(lang_of, np.diff(np.r_[first, len(owner)]))
     scores = np.add.reduceat(model["likely"][np.repeat(lang, size), ids], starts, axis=0)
+    scores += model["prior"][lang]
     level, sure = scores.argmax(axis=1), known[lang, np.arange(len(lang))]
     for t, (a, b) in enumerate(zip(first, np.r_[first[1:], len(owner)])):
         k = int(texts_here[t])
