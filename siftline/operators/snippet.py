@@ -15,6 +15,7 @@ from siftline.config import DEFAULTS
 from siftline.functions.fold import stem
 from siftline.functions.text import STOP_WORDS
 
+# What counts as a word, what is dropped of it before it is stemmed, and the marks around words and cuts.
 _WORD = re.compile(r"\b[a-zA-Z0-9_-]+\b")
 _OTHER = re.compile(r"[^a-zA-Z0-9]")
 _STOP = frozenset(STOP_WORDS)
