@@ -58,9 +58,25 @@ def search(
     """
     # read several times below
     parsed = materialize(parse(queries).where(F.size("search_terms") > 0), "parsed-queries")
-    if blocks is not None and limit is not None and not phrases:
-        found = search_blocks(parsed, blocks, lengths, method=method, limit=limit, domain=domain, boosts=boosts, all_terms=all_terms, exclude=exclude, settings=settings)
-        return top(found, limit)
+    if blocks is not None and limit is not None:
+        options = {"method": method, "limit": limit, "domain": domain, "boosts": boosts, "all_terms": all_terms, "exclude": exclude, "settings": settings}
+        plain = parsed.where(F.size("phrases") == 0) if phrases else parsed
+        found = top(search_blocks(plain, blocks, lengths, **options), limit)
+        if not phrases:
+            return found
+        parsed = materialize(parsed.where(F.size("phrases") > 0), "parsed-queries")
+        if parsed.isEmpty():
+            return found
+        rest = _search_pairs(parsed, docs, postings, lengths, phrases=True, **options)
+        return found.unionByName(rest)
+    return _search_pairs(parsed, docs, postings, lengths, method=method, limit=limit, domain=domain, boosts=boosts, all_terms=all_terms, phrases=phrases, exclude=exclude, settings=settings)
+
+
+def _search_pairs(
+    parsed: DataFrame, docs: DataFrame, postings: DataFrame, lengths: DataFrame, *, method: str, limit: int | None, domain: str | None, boosts: bool,
+    all_terms: bool, phrases: bool, exclude: bool, settings: Settings,
+) -> DataFrame:
+    """``search`` with one row for each query and page that holds a term of it, or, with ``phrases``, all phrases."""
     terms = query_terms(parsed)
     asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
     facts = page_facts(docs, lengths)
@@ -74,8 +90,15 @@ def search(
     # meet them, and the many pairs of queries and pages are summed where they arise. The number of partitions
     # is stated, since adaptive execution would go by the size of the postings, not by that of the pairs
     scored = asked.join(doc_frequency(asked), "term").crossJoin(corpus_stats(lengths)).join(needed.select("doc_id", "doc_len"), "doc_id")
-    scored = scored.select("term", "doc_id", part.alias("part")).repartition(partitions(queries.sparkSession), "doc_id")
-    sums = scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(c("qtf") * c("part")).alias("base"), F.count("*").alias("n_terms"))
+    scored = scored.select("term", "doc_id", part.alias("part")).repartition(partitions(parsed.sparkSession), "doc_id")
+    if phrases and parsed.where(F.size("phrases") == 0).isEmpty():
+        # the few pages that hold the phrases come first, then their terms
+        pairs = phrase_pages(parsed, postings).join(terms, "query_id")
+        met = pairs.join(scored, ["term", "doc_id"])
+        phrases = False
+    else:
+        met = scored.join(terms, "term")
+    sums = met.groupBy("query_id", "doc_id").agg(F.sum(c("qtf") * c("part")).alias("base"), F.count("*").alias("n_terms"))
     sums = sums.join(parsed.select("query_id", "raw_terms", "site", "operator", F.size(F.array_distinct("search_terms")).alias("asked")), "query_id")
     # the pages of a partition are hashed, so that the sums need no sort
     sums = sums.join(needed.drop("doc_len").hint("shuffle_hash"), "doc_id")
@@ -110,19 +133,29 @@ def top(scored: DataFrame, limit: int | None) -> DataFrame:
     return ranked.select("query_id", "rank", "doc_id", "score")
 
 
-def with_phrases(hits: DataFrame, parsed: DataFrame, postings: DataFrame) -> DataFrame:
-    """The rows of ``hits`` whose page holds each phrase of the query in a row.
+def phrase_pages(parsed: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the pages that hold each phrase of the query, of queries with phrases, in a row.
 
     Its stems must stand at positions that follow each other; positions count every token of the page.
+    The pages of a phrase's rarest stem are the only ones whose positions of the others are looked at.
     """
     p = parsed.select("query_id", F.posexplode("phrases").alias("phrase_no", "phrase"))
     words = p.select("query_id", "phrase_no", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term"))
-    places = words.join(postings, "term").select("query_id", "phrase_no", "n", "doc_id", "offset", F.explode("positions").alias("position"))
+    asked = postings.join(words.select("term").distinct(), "term", "left_semi")
+    rarest = words.join(doc_frequency(asked), "term").groupBy("query_id", "phrase_no", "n").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    pages = rarest.join(asked.select("term", "doc_id"), "term").select("query_id", "phrase_no", "n", "doc_id")
+    places = pages.join(words.drop("n"), ["query_id", "phrase_no"]).join(asked, ["term", "doc_id"]).select("query_id", "phrase_no", "n", "doc_id", "offset", F.explode("positions").alias("position"))
     starts = places.groupBy("query_id", "phrase_no", "n", "doc_id", (F.col("position") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("got"))
     held = starts.where("got = n").select("query_id", "doc_id", "phrase_no").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("held"))
-    asked = parsed.select("query_id", F.size("phrases").alias("n_phrases"))
-    both = hits.join(asked, "query_id").join(held, ["query_id", "doc_id"], "left")
-    return both.where(F.coalesce("held", F.lit(0)) >= F.col("n_phrases")).select(hits.columns)
+    sizes = parsed.select("query_id", F.size("phrases").alias("n_phrases"))
+    return held.join(sizes, "query_id").where("held = n_phrases").select("query_id", "doc_id")
+
+
+def with_phrases(hits: DataFrame, parsed: DataFrame, postings: DataFrame) -> DataFrame:
+    """The rows of ``hits`` whose page holds each phrase of the query in a row; all rows of queries without any."""
+    asked = parsed.where(F.size("phrases") > 0)
+    rest = hits.join(asked.select("query_id"), "query_id", "left_anti")
+    return hits.join(phrase_pages(asked, postings), ["query_id", "doc_id"], "left_semi").unionByName(rest)
 
 
 def with_pages(ranked: DataFrame, docs: DataFrame, lengths: DataFrame) -> DataFrame:

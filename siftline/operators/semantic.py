@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from siftline.functions.fold import stem, tokenize
 from siftline.functions.numbers import rounded
 from siftline.functions.text import STOP_WORDS
 from siftline.operators.search import top
+from siftline.storage import materialize
 
 #: Vectors in a block of the collection, queries in a block, and bytes of queries sent to all tasks at once.
 BLOCK, QUERY_BLOCK, QUERY_BYTES = 4096, 512, 64_000_000
@@ -111,12 +113,13 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str
     return top(out, k)
 
 
-def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, dim: int) -> DataFrame:
-    """The k best of each task and those that tie with the last, with rounded scores."""
-    known = vectors.sparkSession.sparkContext.broadcast((ids, queries))
+def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, dim: int, lists: np.ndarray | None = None) -> DataFrame:
+    """The k best of each task and those that tie with the last, with rounded scores. With ``lists``, the numbers of the
+    lists of each query, only vectors in them are compared with it."""
+    known = vectors.sparkSession.sparkContext.broadcast((ids, queries, lists))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = known.value
+        q_ids, q, lists = known.value
         q = q.astype(np.float64)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         least = np.full(len(q_ids), -np.inf)  # the k-th best so far
@@ -124,6 +127,8 @@ def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, d
 
         def prune() -> None:
             nonlocal held
+            if not held:
+                return
             at, doc, score = (np.concatenate(c) for c in zip(*kept))
             order = np.lexsort((doc, -score, at))
             at, doc, score = at[order], doc[order], score[order]
@@ -138,21 +143,107 @@ def _nearest(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, d
         for batch in batches:
             for lo in range(0, batch.num_rows if len(q_ids) else 0, BLOCK):
                 some = batch.slice(lo, BLOCK)
-                docs, v = some.column(0).to_numpy(), _matrix(some.column(1), dim).astype(np.float64)
-                for first in range(0, len(q_ids), QUERY_BLOCK):
-                    raw = q[first : first + QUERY_BLOCK] @ v.T
-                    score = np.copysign(np.floor(np.abs(raw) * 1e6 + 0.5) / 1e6, raw)
-                    at, which = np.nonzero(score >= least[first : first + QUERY_BLOCK, None])
-                    kept.append((at + first, docs[which], score[at, which]))
-                    held += len(at)
-                    if held > 2_000_000:
-                        prune()
+                docs, v = some.column("doc_id").to_numpy(), _matrix(some.column("embedding"), dim).astype(np.float64)
+                if lists is None:
+                    parts = [(np.arange(len(q_ids)), slice(None))]
+                else:
+                    own = some.column("list").to_numpy()
+                    parts = [(np.flatnonzero((lists == x).any(axis=1)), np.flatnonzero(own == x)) for x in np.unique(own)]
+                for asking, these in parts:
+                    for first in range(0, len(asking), QUERY_BLOCK):
+                        who = asking[first : first + QUERY_BLOCK]
+                        raw = q[who] @ v[these].T
+                        score = np.copysign(np.floor(np.abs(raw) * 1e6 + 0.5) / 1e6, raw)
+                        at, which = np.nonzero(score >= least[who, None])
+                        kept.append((who[at], docs[these][which], score[at, which]))
+                        held += len(at)
+                        if held > 2_000_000:
+                            prune()
                 if kept:
                     prune()
         for at, doc, score in kept:
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(doc), pa.array(score)], ["query_id", "doc_id", "score"])
 
-    return vectors.select("doc_id", "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
+    columns = ["doc_id", "embedding"] if lists is None else ["list", "doc_id", "embedding"]
+    return vectors.select(*columns).mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+#: Vectors that the lists of an inverted file are fitted on at most, lists at most, and rounds of the fit.
+SAMPLE, MOST_LISTS, ROUNDS = 50_000, 4096, 12
+#: Share of the ten nearest that an index must find by default, and vectors of the sample that this is measured with.
+RECALL, MEASURED = 0.95, 200
+
+
+@dataclass
+class VectorIndex:
+    """An inverted file: centroids, and ``rows`` (list, doc_id, embedding), written in order of the lists. Every valid
+    vector is in it; vectors that aren't of the index's length are left out."""
+
+    centroids: np.ndarray
+    rows: DataFrame
+    #: Lists to look at by default: so many hold RECALL of the nearest vectors, as measured on the sample.
+    probes: int
+
+    @property
+    def dim(self) -> int:
+        return self.centroids.shape[1]
+
+
+def index_vectors(vectors: DataFrame, *, doc_id: str = "doc_id", dim: int | None = None, lists: int | None = None, sample: int = SAMPLE, seed: int = 1) -> VectorIndex:
+    """Fits centroids on at most ``sample`` vectors, those of least hash of their id, on the driver, and puts every vector
+    in the list of its nearest centroid. By default there are 2 * sqrt(n) lists of n vectors."""
+    dim = usual_length(vectors) if dim is None else dim
+    own = valid(vectors.select(F.col(doc_id).cast("long").alias("doc_id"), "embedding"), dim)
+    some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("embedding").toArrow().combine_chunks()
+    x = _matrix(some["embedding"].combine_chunks(), dim) if len(some) else np.zeros((1, max(dim, 1)), np.float32)
+    n = lists or min(MOST_LISTS, max(1, round(2 * math.sqrt(own.count()))))
+    rng = np.random.default_rng(seed)
+    c = x[rng.permutation(len(x))[:n]]
+    for _ in range(ROUNDS):
+        near = _closest(x, c)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 0, sums / np.maximum(size, 1e-12), c)
+    known = vectors.sparkSession.sparkContext.broadcast(c)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = _closest(_matrix(batch.column(1), dim), known.value) if batch.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns], ["list", "doc_id", "embedding"])
+
+    put_in = own.mapInArrow(assign, "list int, doc_id long, embedding array<float>")
+    # ranges may cut a list, so a list that many vectors fall in is in several files
+    asked = x[rng.permutation(len(x))[:MEASURED]]
+    nearest = np.argsort(-(asked @ x.T), axis=1)[:, :10]
+    order = np.argsort(np.argsort(-(asked @ c.T), axis=1), axis=1)  # the place of each list for each of them
+    places = np.sort(np.take_along_axis(order, _closest(x, c)[nearest], axis=1).ravel())
+    probes = int(places[min(len(places) - 1, math.ceil(RECALL * len(places)))]) + 1
+    return VectorIndex(c, materialize(put_in.repartitionByRange("list", "doc_id").sortWithinPartitions("list"), "vector-index"), probes)
+
+
+def _closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[lo : lo + BLOCK] @ centroids.T).argmax(axis=1) for lo in range(0, len(x), BLOCK)]) if len(x) else np.empty(0, np.int64)
+
+
+def approximate_top(queries: DataFrame, index: VectorIndex, k: int, *, probes: int | None = None, query_id: str = "query_id") -> DataFrame:
+    """``cosine_top`` over the lists of each query's ``probes`` nearest centroids only, by default as many as the index
+    asks for. With as many probes as lists it is exact."""
+    asked = valid(queries.select(F.col(query_id).cast("long").alias("query_id"), "embedding"), index.dim)
+    rounds = max(1, math.ceil(asked.count() * index.dim * 4 / QUERY_BYTES))
+    out = None
+    for r in range(rounds):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) if rounds > 1 else asked
+        table = some.toArrow().combine_chunks()  # of bounded size
+        ids = table["query_id"].combine_chunks().to_numpy()
+        q = _matrix(table["embedding"].combine_chunks(), index.dim) if len(ids) else np.empty((0, index.dim), np.float32)
+        n = min(probes or index.probes, len(index.centroids))
+        near = np.argpartition(-(q @ index.centroids.T), n - 1, axis=1)[:, :n] if len(ids) else np.empty((0, n), int)
+        wanted = np.unique(near).tolist()
+        rows = index.rows.where(F.col("list").isin(wanted)) if len(wanted) <= 1000 else index.rows
+        found = _nearest(rows, ids, q, k, index.dim, near)
+        out = found if out is None else out.unionByName(found)
+    return top(out, k)
 
 
 def semantic_search(similar: DataFrame, docs: DataFrame, *, domain: str | None = None, limit: int | None = 50, settings: Settings = DEFAULTS) -> DataFrame:

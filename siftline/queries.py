@@ -256,6 +256,17 @@ def cosine_topk(spark, d):
     return semantic.cosine_top(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v, 10, doc_id="vec_id")
 
 
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def ivf_recall(spark, d):
+    """Whether the index of all vectors finds 0.9 of the ten nearest, for each query whose id is divisible by 100."""
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    near = semantic.approximate_top(asked, semantic.index_vectors(v, doc_id="vec_id"), 10).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    exact = semantic.cosine_top(asked, v, 10, doc_id="vec_id")
+    share = F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")
+    return exact.join(near, ["query_id", "doc_id"], "left").agg(F.count_distinct("query_id").alias("queries"), (share >= 0.9).alias("enough"))
+
+
 @query(f"""WITH {R.DOCS}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT q.query_id, v.vec_id AS doc_id, round(list_inner_product(q.e, v.embedding::DOUBLE[]), 6) AS score FROM q, embeddings v)) WHERE r <= 100),
 j AS (SELECT n.query_id, n.doc_id, n.score, coalesce(d.pagerank_score, 0) AS pr, max(coalesce(d.pagerank_score, 0)) OVER (PARTITION BY n.query_id) AS m FROM n JOIN d USING (doc_id))
