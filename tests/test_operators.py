@@ -176,6 +176,20 @@ def test_sources(spark, tmp_path):
     assert tables.read(spark, folder, "click_log").count() == 1 and tables.read(spark, folder, "docs").count() == 0
 
 
+def test_jdbc_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, query string")
+    try:
+        tables.to_jdbc(rows, url, "log", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception as e:
+        if "ClassNotFound" in str(e) or "No suitable driver" in str(e):
+            __import__("pytest").skip("no database on the class path")
+        raise
+    tables.to_jdbc(rows, url, "log", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    got = tables.jdbc(spark, url, "log", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(2 * ["(1, 'a')", "(2, None)"])
+
+
 def test_analytics(spark):
     rows = [(1, "A b", None, 2, 1, 10.0, True, "bm25", None), (2, "a B", "a b", 0, 1, None, False, "bm25", None), (1, "A b", None, 2, 1, 10.0, True, "bm25", None)]
     log = analytics.entries(spark.createDataFrame(rows, tables.SCHEMAS["query_log"]))

@@ -138,6 +138,26 @@ def test_fusion_ties_put_the_semantic_list_first(spark):
     assert [r.doc_id for r in search.rank_fusion(s, k).orderBy("rank").collect()] == [9, 3]
 
 
+def test_vector_index(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16))
+    v = np.concatenate([c + 0.3 * rng.normal(size=(60, 16)) for c in centres]).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9000, None), (9001, [1.0])]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<float>").repartition(3)
+    ask = df.where("doc_id % 40 = 0").withColumnRenamed("doc_id", "query_id")
+    made = semantic.index_vectors(df, sample=500)
+    assert made.rows.count() == len(v) and made.rows.select("doc_id").distinct().count() == len(v)
+    exact = {(r.query_id, r.doc_id) for r in semantic.cosine_top(ask, df, 10).collect()}
+    near = {(r.query_id, r.doc_id) for r in semantic.approximate_top(ask, made, 10, probes=8).collect()}
+    assert len(exact & near) >= 0.9 * len(exact) and len(near) == len(exact)
+    assert {(r.query_id, r.doc_id) for r in semantic.approximate_top(ask, made, 10, probes=len(made.centroids)).collect()} == exact
+    assert semantic.approximate_top(ask.limit(0), made, 10).count() == 0
+    assert semantic.approximate_top(ask, semantic.index_vectors(df.limit(0), dim=16), 10).count() == 0
+
+
 def in_rounds(semantic, df):
     """The same search with queries sent in several rounds."""
     old, semantic.QUERY_BYTES = semantic.QUERY_BYTES, 64
