@@ -139,16 +139,21 @@ def phrase_pages(parsed: DataFrame, postings: DataFrame) -> DataFrame:
     Its stems must stand at positions that follow each other; positions count every token of the page.
     The pages of a phrase's rarest stem are the only ones whose positions of the others are looked at.
     """
-    p = parsed.select("query_id", F.posexplode("phrases").alias("phrase_no", "phrase"))
-    words = p.select("query_id", "phrase_no", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term"))
+    asking = parsed.select("query_id", F.explode(F.array_distinct("phrases")).alias("phrase"))
+    # each different phrase once, however many queries ask for it
+    words = asking.select("phrase").distinct().select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term"))
     asked = postings.join(words.select("term").distinct(), "term", "left_semi")
-    rarest = words.join(doc_frequency(asked), "term").groupBy("query_id", "phrase_no", "n").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pages = rarest.join(asked.select("term", "doc_id"), "term").select("query_id", "phrase_no", "n", "doc_id")
-    places = pages.join(words.drop("n"), ["query_id", "phrase_no"]).join(asked, ["term", "doc_id"]).select("query_id", "phrase_no", "n", "doc_id", "offset", F.explode("positions").alias("position"))
-    starts = places.groupBy("query_id", "phrase_no", "n", "doc_id", (F.col("position") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("got"))
-    held = starts.where("got = n").select("query_id", "doc_id", "phrase_no").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("held"))
-    sizes = parsed.select("query_id", F.size("phrases").alias("n_phrases"))
-    return held.join(sizes, "query_id").where("held = n_phrases").select("query_id", "doc_id")
+    rarest = words.join(doc_frequency(asked), "term").groupBy("phrase", "n").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    pages = rarest.join(asked.select("term", "doc_id"), "term").select("phrase", "doc_id")
+    places = pages.join(words, "phrase").join(asked, ["term", "doc_id"]).select("phrase", "n", "doc_id", "offset", "positions")
+    # the places where the phrase begins if this word of it is in place; a page and phrase has as many rows as words
+    begins = F.transform("positions", lambda x: x - F.col("offset"))
+    held = places.groupBy("phrase", "n", "doc_id").agg(F.collect_list(begins).alias("begins"))
+    common = F.aggregate(F.slice("begins", 2, F.greatest(F.lit(1), F.size("begins"))), F.col("begins")[0], lambda a, x: F.array_intersect(a, x))
+    held = held.where((F.size("begins") == F.col("n")) & (F.size(common) > 0)).select("phrase", "doc_id")
+    sizes = parsed.select("query_id", F.size(F.array_distinct("phrases")).alias("n_phrases"))
+    counted = asking.join(held, "phrase").groupBy("query_id", "doc_id").agg(F.count("*").alias("held"))
+    return counted.join(sizes, "query_id").where("held = n_phrases").select("query_id", "doc_id")
 
 
 def with_phrases(hits: DataFrame, parsed: DataFrame, postings: DataFrame) -> DataFrame:
