@@ -38,21 +38,18 @@ def term_entries(postings: DataFrame, term: str = "term", record: str = "doc_id"
 
     Repeated entries, and different written forms of one term, are one entry. n is the number of
     different places of the entry that has most of them; where none has any, the greatest stated
-    frequency, at least 1. Null and blank terms, and null records, have no entry; a record that has
-    no other terms has one entry with a null term, by which it counts as a record.
+    frequency, at least 1. Null records have no entry. Null and blank terms of a record are one entry
+    with a null term and n = 0, which counts for no term; a record without others counts by it.
     """
     p = postings.select(
         F.col(term).alias("form"), F.col(record).alias("record"),
         F.coalesce(F.size(F.array_distinct(F.col(places))), F.lit(0)).alias("places"), F.col(times).alias("times"),
-    ).where("form is not null and record is not null")
+    ).where("record is not null")
     per_form = p.groupBy("form", "record").agg(F.max("places").alias("places"), F.max("times").alias("times"))
-    folded = per_form.withColumn("term", folded_term(F.col("form"))).where("term <> ''")
+    folded = per_form.withColumn("term", F.nullif(folded_term(F.col("form")), F.lit("")))
     merged = folded.groupBy("term", "record").agg(F.max("places").alias("places"), F.max("times").alias("times"))
     n = F.when(F.col("places") > 0, F.col("places")).otherwise(F.greatest(F.col("times"), F.lit(1)))
-    entries = merged.select("term", "record", n.cast("long").alias("n"))
-    seen = postings.where(F.col(record).isNotNull()).select(F.col(record).alias("record")).distinct()
-    without = seen.join(entries.select("record").distinct(), "record", "left_anti")
-    return entries.unionByName(without.select(F.lit(None).cast("string").alias("term"), "record", F.lit(0).cast("long").alias("n")))
+    return merged.select("term", "record", F.when(F.col("term").isNull(), 0).otherwise(n).cast("long").alias("n"))
 
 
 def signed_delta(before: DataFrame, after: DataFrame) -> DataFrame:

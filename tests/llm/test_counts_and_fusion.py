@@ -92,7 +92,7 @@ def test_entries_and_marks(spark):
     p = spark.createDataFrame(rows, "term string, doc_id long, term_frequency int, positions array<int>").withColumn("n", F.lit("clash"))
     got = {(r.term, r.record): r.n for r in tc.term_entries(p).collect()}
     blank = {k: n for k, n in got.items() if k[0] is None}
-    assert blank == {(None, 4): 0, (None, 5): 0}  # records without terms
+    assert blank == {(None, 1): 0, (None, 4): 0, (None, 5): 0}  # of records with null and blank terms
     got = {k: n for k, n in got.items() if k[0] is not None}
     assert got == {("cafe", 1): 2, ("cafe", 2): 1, ("cafe", 3): 3, ("y", 1): 1}
     counts = spark.createDataFrame([("cafe", 6, 3), ("y", 1, 2)], "term string, occurrences long, records long")
