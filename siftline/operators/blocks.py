@@ -23,8 +23,9 @@ from siftline.config import DEFAULTS, Settings
 from siftline.operators.index import corpus_stats
 from siftline.storage import partitions
 
-#: Pages of a block, and queries that are sent to all tasks at once; more go in several rounds.
-BLOCK_PAGES, QUERY_BATCH = 16_384, 50_000
+#: Pages of a block at most, on average, and at least where there are enough tasks; queries that are sent to all tasks
+#: at once: more go in several rounds.
+BLOCK_PAGES, LEAST_PAGES, QUERY_BATCH = 16_384, 512, 50_000
 
 _TYPES = {
     "block": "int", "term": "string", "pages": "array<struct<doc_id: bigint, doc_len: int, pr: double, title: string, domain: string>>",
@@ -37,7 +38,7 @@ def block_index(facts: DataFrame, postings: DataFrame) -> DataFrame:
     """The rows of the index (see SCHEMA) of ``facts`` (doc_id, title, domain, pagerank_score, doc_len) and
     ``postings`` (term, doc_id, term_frequency). Lists are bounded by the pages of a block."""
     n = facts.count()
-    blocks = max(partitions(facts.sparkSession), math.ceil(n / BLOCK_PAGES))
+    blocks = max(1, math.ceil(n / BLOCK_PAGES), min(partitions(facts.sparkSession), math.ceil(n / LEAST_PAGES)))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     page = F.struct("doc_id", F.col("doc_len").cast("int").alias("doc_len"), F.coalesce("pagerank_score", F.lit(0.0)).alias("pr"), F.coalesce("title", F.lit("")).alias("title"), "domain")
     none = lambda c: F.lit(None).cast(_TYPES[c]).alias(c)
@@ -244,6 +245,6 @@ def _scored(spark: SparkSession, rows: list, index: DataFrame, stats: tuple[int,
         yield from done()
 
     facts = index.where("term is null")
-    n = partitions(spark)
+    n = min(partitions(spark), 1 + (facts.agg(F.max("block")).first()[0] or 0))
     together = facts.unionByName(lists.select(facts.columns)).repartition(n, "block").sortWithinPartitions("block", F.col("term").asc_nulls_first())
     return together.mapInArrow(run, "query_id long, doc_id long, score double")
