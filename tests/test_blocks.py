@@ -11,6 +11,7 @@ WORDS = ["graph", "sort", "tree", "queue", "memory", "paging", "kernel", "query"
 
 @pytest.fixture(scope="module")
 def made(spark):
+    blocks.LEAST_PAGES = 70  # several blocks of few pages
     rng = random.Random(4)
     rows = []
     for i in range(260):
