@@ -25,6 +25,7 @@ items then find their container by their number within their size, on the execut
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,8 @@ from siftline.storage import materialize, table, without_copies
 NODES, GREEDY_NODES = 600_000, 2000
 #: Containers that are searched again together, and nodes of one such search.
 TOGETHER, AT_ONCE = 20, 3000
+#: Containers, the latest, of which a search holds the fillings that are left; those of others are made anew.
+AT_HAND = 1000
 #: Prices, in tokens of waste, of each further item of a filling: a plan is made with each.
 PRICES = (0.0, 0.5, 1.0, 2.0)
 
@@ -125,30 +128,49 @@ class Completion:
         self.present[here] = True
         self.least = int(here[0])
         self.best, self.cost, self.left = [], room + 1.0, self.nodes
-        self.walk(room, 0, [])
+        self.walk(room)
         return self.best
 
-    def walk(self, room: int, start: int, have: list[int]) -> None:
+    def walk(self, room: int) -> None:
+        """Depth first, without recursion: a container may hold as many items as its capacity."""
+        have: list[int] = []
+        used: Counter = Counter()
+        path: list[int] = []  # where in the sizes each item of ``have`` is
+        last = len(self.sizes)
+        k = 0 if self.goes_on(room, have, used) else last
+        while True:
+            while k < last and (self.sizes[k] > room or self.counts[self.sizes[k]] <= used[self.sizes[k]]):
+                k += 1
+            if k < last:
+                s = self.sizes[k]
+                self.left -= 1
+                have.append(s)
+                path.append(k)
+                used[s] += 1
+                room -= s
+                if not self.goes_on(room, have, used):
+                    k = last
+            else:
+                if not path or self.cost <= 0 or self.left <= 0:
+                    return
+                s = have.pop()
+                used[s] -= 1
+                room += s
+                k = path.pop() + 1
+
+    def goes_on(self, room: int, have: list[int], used: Counter) -> bool:
+        """Notes a filling if it is the best; whether further items may make a better one."""
         if (cost := room + self.price * max(0, len(have) - 1)) < self.cost:
             self.best, self.cost = have[:], cost
         further = self.price * len(have)  # whatever follows costs at least this
         if room < self.least or further >= self.cost or self.left <= 0:
-            return
+            return False
         # an item that fits exactly dominates everything that could follow
-        if self.present[room] and (not have or room <= have[-1]) and self.counts[room] > have.count(room):
+        if self.present[room] and (not have or room <= have[-1]) and self.counts[room] > used[room]:
             if further < self.cost:
                 self.best, self.cost = [*have, room], further
-            return
-        for k in range(start, len(self.sizes)):
-            s = self.sizes[k]
-            if s > room or self.counts[s] <= have.count(s):
-                continue
-            self.left -= 1
-            have.append(s)
-            self.walk(room - s, k, have)
-            have.pop()
-            if self.cost <= 0 or self.left <= 0:
-                return
+            return False
+        return True
 
 
 def complete(counts: np.ndarray, capacity: int, nodes: int = GREEDY_NODES, price: float = 0.0) -> list[Fill]:
@@ -176,10 +198,14 @@ class OutOfNodes(Exception):
 
 
 class BranchAndBound:
-    """A packing of items in at most so many containers, or the proof that there is none."""
+    """A packing of items in at most so many containers, or the proof that there is none.
+
+    A search of so many nodes also goes so many containers deep at most."""
 
     def __init__(self, items: Counter, capacity: int, nodes: int | None):
-        self.counts, self.capacity, self.left = dict(items), capacity, nodes
+        self.counts, self.capacity, self.left, self.deepest = dict(items), capacity, nodes, nodes
+        self.order = sorted(self.counts, reverse=True)
+        self.rising = self.order[::-1]
 
     def visit(self) -> None:
         if self.left is not None:
@@ -192,69 +218,102 @@ class BranchAndBound:
         spare = limit * self.capacity - sum(s * n for s, n in self.counts.items())
         if spare < 0:
             return None
-        if not any(self.counts.values()):
+        rest = sum(self.counts.values())
+        if not rest:
             return []
         plan: list[list[int]] = []
-        branches = [(spare, *self.branch(spare))]
+        # for each container the spare waste, the place of its largest item, its fillings and how many were tried
+        branches: list[list] = [self.branch(spare, 0)]
         while branches:
-            spare, largest, fillings = branches[-1]
+            spare, at, fillings, tried = branches[-1]
+            largest = self.order[at]
+            if fillings is None:
+                fillings = branches[-1][2] = self.again(self.capacity - largest, spare, tried)
             filling = next(fillings, None)
             if filling is None:  # go back: the largest item and the filling that led here are free again
                 branches.pop()
                 self.counts[largest] += 1
                 if plan:
+                    rest += len(plan[-1])
                     for s in plan.pop()[1:]:
                         self.counts[s] += 1
                 continue
+            branches[-1][3] += 1
             for s in filling:
                 self.counts[s] -= 1
             plan.append([largest, *filling])
-            if not any(self.counts.values()):
+            rest -= len(plan[-1])
+            if not rest:
                 return plan
-            spare -= self.capacity - sum(plan[-1])
-            branches.append((spare, *self.branch(spare)))
+            if self.deepest is not None and len(plan) > self.deepest:
+                raise OutOfNodes
+            if len(branches) > AT_HAND:
+                branches[-AT_HAND][2] = None
+            branches.append(self.branch(spare - self.capacity + sum(plan[-1]), at))
         return None
 
-    def branch(self, spare: int) -> tuple[int, Iterator[list[int]]]:
-        """The largest item, taken out, and the fillings of its container."""
-        largest = max(s for s, n in self.counts.items() if n)
-        self.counts[largest] -= 1
-        return largest, self.fillings(self.capacity - largest, spare)
+    def branch(self, spare: int, at: int) -> list:
+        """The largest item, none of which stands before ``at``, taken out, and the fillings of its container."""
+        while not self.counts[self.order[at]]:
+            at += 1
+        self.counts[self.order[at]] -= 1
+        return [spare, at, self.fillings(self.capacity - self.order[at], spare), 0]
+
+    def again(self, room: int, spare: int, tried: int) -> Iterator[list[int]]:
+        """The fillings after those that were tried, whose nodes are counted already."""
+        left, self.left = self.left, None
+        fillings = self.fillings(room, spare)
+        for _ in range(tried):
+            next(fillings)
+        self.left = left
+        return fillings
 
     def fillings(self, room: int, spare: int) -> Iterator[list[int]]:
         """The undominated fillings that waste at most ``spare``, by rising bands of waste: 0, 1 to 3, 4 to 15, ..."""
-        sizes = sorted((s for s, n in self.counts.items() if n and s <= room), reverse=True)
+        sizes = [s for s in self.order[len(self.order) - bisect_right(self.rising, room) :] if self.counts[s]]
         after = [0] * (len(sizes) + 1)  # the sizes from the k-th on, all together
         for k in range(len(sizes) - 1, -1, -1):
             after[k] = after[k + 1] + sizes[k] * self.counts[sizes[k]]
         low, high = 0, 0
         while low <= min(spare, room):
-            yield from self.fill(sizes, after, room, 0, [], low, min(high, spare))
+            yield from self.fill(sizes, after, room, low, min(high, spare))
             low, high = high + 1, high * 4 + 3
 
-    def fill(self, sizes: list[int], after: list[int], room: int, start: int, have: list[int], low: int, high: int) -> Iterator[list[int]]:
-        for k in range(start, len(sizes)):
-            if after[k] < room - high:  # too much would stay empty
-                break
-            s = sizes[k]
-            if s <= room and self.counts[s] > have.count(s):
-                self.visit()
-                have.append(s)
-                yield from self.fill(sizes, after, room - s, k, have, low, high)
-                have.pop()
-        if low <= room <= high and not self.dominated(sizes, room, have):
-            yield have[:]
+    def fill(self, sizes: list[int], after: list[int], room: int, low: int, high: int) -> Iterator[list[int]]:
+        """Depth first, without recursion: a container may hold as many items as its capacity."""
+        have: list[int] = []
+        used: Counter = Counter()
+        path: list[int] = []  # where in the sizes each item of ``have`` is
+        k, last = 0, len(sizes)
+        while True:
+            while k < last and after[k] >= room - high:  # else too much would stay empty
+                s = sizes[k]
+                if s <= room and self.counts[s] > used[s]:
+                    self.visit()
+                    have.append(s)
+                    path.append(k)
+                    used[s] += 1
+                    room -= s
+                else:
+                    k += 1
+            if low <= room <= high and not self.dominated(sizes, room, used):
+                yield have[:]
+            if not path:
+                return
+            s = have.pop()
+            used[s] -= 1
+            room += s
+            k = path.pop() + 1
 
-    def dominated(self, sizes: list[int], waste: int, have: list[int]) -> bool:
+    def dominated(self, sizes: list[int], waste: int, used: Counter) -> bool:
         """Whether another filling is as good in any plan: one with a further item that fits in the waste, or
         with an item left out that fits in the place of a smaller one or of two that aren't larger together."""
-        used = Counter(have)
-        free = {s for s in sizes if self.counts[s] > used[s]}
-        if any(s <= waste for s in free):
+        free = [s for s in reversed(sizes) if self.counts[s] > used[s]]  # rising
+        if free and free[0] <= waste:
             return True
-        own = list(used.elements())
-        places = {(s + 1, s + waste) for s in used} | {(a + b, a + b + waste) for k, a in enumerate(own) for b in own[:k]}
-        return any(low <= s <= high for s in free for low, high in places)
+        own = [s for s, n in used.items() if n]
+        places = {*own, *(a + b for k, a in enumerate(own) for b in own[:k]), *(2 * s for s in own if used[s] > 1)}
+        return any((k := bisect_right(free, s)) < len(free) and free[k] <= s + waste for s in places)
 
 
 def improved(plan: list[Fill], capacity: int, bound: int, nodes: int, seed: int = 1) -> tuple[list[Fill], int]:
@@ -321,15 +380,21 @@ def plan(counts: np.ndarray, capacity: int, nodes: int | None = NODES) -> Plan:
         if sum(f.times for f in other) < used:
             best = other
     items = Counter({int(s): int(counts[s]) for s in np.flatnonzero(counts) if s})
+    # items beside which nothing fits stand alone in any plan
+    least = min(items, default=0)
+    alone = {s: n for s, n in items.items() if s + least > capacity}
+    shared = Counter({s: n for s, n in items.items() if s not in alone})
     while (used := sum(f.times for f in best)) > bound:
-        search = BranchAndBound(items, capacity, None if nodes is None else nodes // 4)
+        search = BranchAndBound(shared, capacity, None if nodes is None else nodes // 4)
         try:
-            found = search.solve(used - 1)
+            found = search.solve(used - 1 - sum(alone.values()))
         except OutOfNodes:
             break
         if found is None:
             return Plan(best, True)
         best = [Fill(k, 1, tuple(sorted(Counter(own).items(), reverse=True))) for k, own in enumerate(found)]
+        for s, n in alone.items():
+            best.append(Fill(sum(f.times for f in best[-1:]) + (best[-1].base if best else 0), n, ((s, 1),)))
     if nodes is not None:
         best, _ = improved(best, capacity, bound, nodes)
     return Plan(best, sum(f.times for f in best) <= bound)

@@ -97,6 +97,31 @@ def test_windows_improve_a_plan():
     check(doubled, counts * 1000, 512)
 
 
+def test_containers_of_thousands_of_items():
+    # more items in a container than Python calls may be nested
+    counts = histogram([3] * 4000 + [5] * 3000 + [7] * 10, 8192)
+    for price in packing.PRICES:
+        check(packing.complete(counts, 8192, price=price), counts, 8192)
+    search = packing.BranchAndBound({3: 4000, 5: 3000, 7: 10}, 8192, None)
+    found = search.solve(4)
+    assert sorted(s for own in found for s in own) == [3] * 4000 + [5] * 3000 + [7] * 10
+    assert all(sum(own) <= 8192 for own in found) and len(found) == packing.lower_bound(counts, 8192) == 4
+    many = histogram([2000, 1900, 150, 100, 31, 30, 24, 7, 1], 2048) * 3_000_000
+    found = packing.plan(many, 2048)
+    assert check(found.fills, many, 2048) == found.containers
+
+
+def test_a_search_many_containers_deep(monkeypatch):
+    rng = np.random.default_rng(6)
+    for hand in (1, 2, 1000):
+        monkeypatch.setattr(packing, "AT_HAND", hand)
+        for _ in range(40):
+            sizes = rng.integers(20, 60, 11).tolist() + [100] * 5 + [81] * 3
+            found = packing.plan(histogram(sizes, 100), 100, None)
+            assert found.optimal and check(found.fills, histogram(sizes, 100), 100) == 8 + fewest(sizes[:11], 100)
+            assert sorted(k for f in found.fills for k in range(f.base, f.base + f.times)) == list(range(found.containers))
+
+
 @pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.json"), reason="no tokenizer files")
 def test_table(spark):
     rows = [(i, "word " * (i % 37)) for i in range(300)] + [(900, None), (901, ""), (902, "word " * 1000), (5, "word " * 5), (None, "no id")]
