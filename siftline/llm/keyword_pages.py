@@ -42,6 +42,10 @@ PRIOR_PAIRS = 5
 #: The least deviation that counts as a standard deviation of each measure.
 LEAST_SIGMA = {"slope": 0.02, "spread": 0.02, "divergence": 0.005, "repetition": 0.02}
 
+#: The accuracy of sketches of quantiles, and the share of values before and after a quantile, five times the
+#: sketch's error, between which it is looked for.
+SKETCH, MARGIN = 1000, 0.005
+
 TOGETHER = 1000
 _PAGE = pa.schema(
     [("lang", pa.string()), ("n_words", pa.int64()), ("n_real", pa.int64()), ("keywords", pa.int64()), ("kinds", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("types", pa.list_(pa.int32()))]
@@ -142,6 +146,38 @@ def blended(pages: DataFrame, own: DataFrame, everywhere: DataFrame, columns: li
     return both.select(*pages.columns, *[blend(c) for c in columns])
 
 
+def quantiles(df: DataFrame, keys: list[str], measures: list[str], shares: list[float]) -> DataFrame:
+    """(keys, n, q_ of each measure): the rows of each group, which may have null keys, and, of its values of a measure
+    that aren't null, those at the places ceil(share * values), the least being 1; null if there are none.
+
+    They are exact. A sketch of all rows gives limits MARGIN of the values before and after each place; the values
+    between them are counted and sorted, those before counted only. The result is one row a group, and is written.
+    """
+    k = len(shares)
+    around = [min(1.0, max(0.0, s + d)) for s in shares for d in (-MARGIN, MARGIN)]
+    sketches = [x for m in measures for x in (F.count(m).alias(f"n_{m}"), F.percentile_approx(m, F.array(*map(F.lit, around)), SKETCH).alias(f"r_{m}"))]
+    rough = materialize(df.groupBy(*keys).agg(F.count("*").alias("n"), *sketches), "rough-quantiles")
+    same = lambda other: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(other[f"__{c}"]) for c in keys])
+    limits = rough.select(*[F.col(c).alias(f"__{c}") for c in keys], *[c for m in measures for c in (f"n_{m}", f"r_{m}")])
+    marks = []
+    for j, m in enumerate(measures):
+        for i, share in enumerate(shares):
+            low, high = F.col(f"r_{m}")[2 * i], F.col(f"r_{m}")[2 * i + 1]
+            place = F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(share) * F.col(f"n_{m}")))
+            mark = F.struct(F.lit(j * k + i).alias("q"), place.alias("place"), F.when(F.col(m) >= low, F.col(m)).alias("value"))
+            marks.append(F.when((low < high) & (F.col(m) <= high), mark))
+    near = df.join(F.broadcast(limits), same(limits)).select(*keys, F.explode(F.array(*marks)).alias("mark")).where("mark is not null").select(*keys, "mark.*")
+    counted = near.groupBy(*keys, "q", "place", "value").agg(F.count("*").alias("c"))
+    # values before the limits are null, which comes first
+    upto = F.sum("c").over(Window.partitionBy(*keys, "q").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = counted.withColumn("upto", upto).where("upto >= place").groupBy(*keys, "q").agg(F.min("value").alias("value"))
+    found = found.groupBy(*[F.col(c).alias(f"__{c}") for c in keys]).agg(F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("found"))
+    # where both limits are one value, it is that
+    at = lambda m, j, i: F.coalesce(F.col("found")[j * k + i], F.col(f"r_{m}")[2 * i])
+    each = [F.when(F.col(f"n_{m}") > 0, F.array(*[at(m, j, i) for i in range(k)])).alias(f"q_{m}") for j, m in enumerate(measures)]
+    return materialize(rough.join(F.broadcast(found), same(found), "left").select(*keys, "n", *each), "quantiles")
+
+
 def compared(pages: DataFrame) -> DataFrame:
     """``pages`` with divergence and z_ columns: how far each measure is from that of prose of the language and length."""
     pages = pages.withColumn("bin", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
@@ -156,9 +192,12 @@ def compared(pages: DataFrame) -> DataFrame:
     q = [(F.col("kinds")[k] + PRIOR_PAIRS * p[k]) / (total + PRIOR_PAIRS) for k in each]
     divergence = reduce(lambda a, b: a + b, [q[k] * F.log(q[k] / p[k]) for k in each])
     pages = pages.withColumn("divergence", divergence).drop("kinds", "usual")
-    quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{m}") for m in MEASURES]
-    peers = prose_pages(pages)
-    pages = blended(pages, peers.groupBy(*groups).agg(F.count("*").alias("n"), *quartiles), peers.agg(*quartiles), [f"q_{m}" for m in MEASURES])
+    # each page counts in the group of its language and length, and in that of all
+    own, everyone = F.struct(*groups, F.lit(False).alias("all")), F.struct(F.lit(None).cast("string").alias("l"), F.lit(None).cast("int").alias("b"), F.lit(True).alias("all"))
+    peers = prose_pages(pages).select(F.explode(F.array(own, everyone)).alias("group"), *MEASURES).select("group.*", *MEASURES)
+    quartiles = quantiles(peers, ["l", "b", "all"], MEASURES, [0.25, 0.5, 0.75])
+    columns = [f"q_{m}" for m in MEASURES]
+    pages = blended(pages, quartiles.where("not all"), quartiles.where("all").agg(*[F.first(c).alias(c) for c in columns]), columns)
 
     def z(m: str) -> Column:
         q = F.col(f"q_{m}")

@@ -1,7 +1,8 @@
 """What same-language prose looks like, word by word: used to tell sentences from keywords and furniture.
 
-The model is the words, word pairs and word triples that graded samples of prose hold. It is bounded
-by the samples it is made of, so it is broadcast.
+The model is the words, word pairs and word triples that at least HOLDERS graded samples of prose hold. They
+are counted over all samples, on the executors. The model grows with what samples have in common; it is
+broadcast.
 
 Languages without samples are told by their short words, which the samples don't know, in pieces of
 text that have the shape of sentences; there the shape decides: see ``foreign``.
@@ -11,14 +12,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Samples the model is made of at most; a documented bound, taken by least id.
-SAMPLES = 20_000
 #: Samples that must hold a pair or triple, so that names don't make any.
 HOLDERS = 2
 #: A sentence is real if it has so many words, such a share of its pairs is known, and so many triples.
@@ -42,44 +44,54 @@ KNOWN_SHORT, SENTENCE_WORDS = 0.65, 0.4
 #: Words, and the marks at which a sentence or an item of a list ends.
 TOKEN, MARKS = re.compile(r"[^\W\d_]+|[.!?;|/*\n\r]"), ".!?;|/*\n\r"
 _END = re.compile(r"[.!?;|/*\n\r]")
-_BITS = 20
+_BITS = 31
+#: What samples hold: themselves, words of a language, pairs and triples of words, in which _EDGE is the edge of a sentence.
+_SAMPLE, _WORD_OF, _PAIR, _TRIPLE = 0, 1, 2, 3
+_EDGE = "^"
 
 
 def plain(text: str) -> str:
     return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
 
 
+def _held(lang: str, text: str) -> set[tuple[int, str, str]]:
+    """Kind, language and words of all that a sample holds. Pairs and triples are those of any language."""
+    own = [[_EDGE, *s, _EDGE] for s in _split(TOKEN.findall(plain(text))) if s]
+    out = {(_SAMPLE, lang, "")} | {(_WORD_OF, lang, w) for s in own for w in s[1:-1]}
+    out |= {(_PAIR, "", " ".join(p)) for s in own for p in zip(s, s[1:])}
+    return out | {(_TRIPLE, "", " ".join(t)) for s in own for t in zip(s, s[1:], s[2:])}
+
+
 def train(rows: list[tuple[str, str]]) -> dict:
-    """The model of (language, text) rows, as plain arrays and dicts. Word numbers have 20 bits: words
-    beyond a million are unknown."""
-    holders: dict[str, Counter] = defaultdict(Counter)
-    pairs, triples = Counter(), Counter()
-    sentences = []
-    samples = Counter(lang for lang, _ in rows)
-    for lang, text in rows:
-        own = [s for s in _split(TOKEN.findall(plain(text))) if s]
-        holders[lang].update({w for s in own for w in s})
-        sentences.append(own)
-    words: dict[str, int] = {}
-    for counts in holders.values():
-        for w, n in counts.items():
-            if n >= HOLDERS and len(words) < (1 << _BITS) - 3:
-                words.setdefault(w, len(words) + 2)  # 0: unknown, 1: the edge of a sentence
-    for own in sentences:
-        ids = [[1, *(words.get(w, 0) for w in s), 1] for s in own]
-        pairs.update({(a, b) for s in ids for a, b in zip(s, s[1:]) if a and b})
-        triples.update({(a, b, c) for s in ids for a, b, c in zip(s, s[1:], s[2:]) if a and b and c})
-    kept = lambda counts: [x for x, n in counts.items() if n >= HOLDERS]
-    pair = np.sort(np.array([a << _BITS | b for a, b in kept(pairs)], np.int64))
-    triple = np.sort(np.array([(a << _BITS | b) << _BITS | c for a, b, c in kept(triples)], np.int64))
-    langs = sorted(holders)
+    """The model of (language, text) rows, as plain arrays and dicts."""
+    counts = Counter(x for lang, text in rows for x in _held(lang, text))
+    return _model((*x, n) for x, n in counts.items() if n >= HOLDERS or x[0] == _SAMPLE)
+
+
+def _model(held: Iterable[tuple[int, str, str, int]]) -> dict:
+    """The model of what at least HOLDERS samples hold, and of the number of samples of each language: rows (kind,
+    language, words, samples). A word is known if so many samples of one language hold it. Words have 31 bits; a
+    triple is the place of its first two words among the pairs, and its last word."""
+    rows: list[list[tuple]] = [[], [], [], []]
+    for kind, lang, key, n in held:
+        rows[kind].append((lang, key, n))
+    samples = {lang: n for lang, _, n in rows[_SAMPLE]}
+    holders: dict[str, list[tuple[int, str]]] = {lang: [] for lang in sorted(samples)}
+    for lang, w, n in rows[_WORD_OF]:
+        holders[lang].append((-n, w))
+    words = {w: k for k, w in enumerate(sorted({w for _, w, _ in rows[_WORD_OF]}), 2)}  # 0: unknown
+    number = words | {_EDGE: 1}
+    numbered = lambda kind: np.array([ids for _, key, _ in rows[kind] if all(ids := [number.get(w, 0) for w in key.split(" ")])], np.int64).reshape(-1, kind)
+    pair, triple = numbered(_PAIR), numbered(_TRIPLE)
+    pair = np.sort(pair[:, 0] << _BITS | pair[:, 1])
+    triple = np.sort(np.searchsorted(pair, triple[:, 0] << _BITS | triple[:, 1]) << _BITS | triple[:, 2])
+    langs = list(holders)
     known = np.zeros((len(langs), len(words) + 2), np.int32)
-    for i, lang in enumerate(langs):
-        known[i, [words[w] for w, n in holders[lang].items() if n >= HOLDERS and w in words]] = 1
     content = np.ones(len(words) + 2, bool)
     content[:2] = False
-    for lang in langs:
-        own = sorted((-n, w) for w, n in holders[lang].items() if n >= HOLDERS and w in words)
+    for i, lang in enumerate(langs):
+        own = sorted(holders[lang])
+        known[i, [words[w] for _, w in own]] = 1
         most = min(MOST_FUNCTION, int(FUNCTION_SHARE * len(own)))
         content[[words[w] for n, w in own[:most] if -n >= FUNCTION_HOLDERS * samples[lang]]] = False
     return {"words": words, "pairs": pair, "triples": triple, "langs": langs, "known": known, "content": content}
@@ -95,18 +107,33 @@ def _split(tokens: list[str]) -> list[list[str]]:
     return out
 
 
-def load(samples: DataFrame, max_samples: int = SAMPLES) -> dict:
-    """The model of at most ``max_samples`` rows (sample_id, lang, text), made on the driver. Rows with
-    a null lang or text are left out."""
-    rows = samples.select("sample_id", "lang", "text").where("lang is not null and text is not null")
-    return train([(r.lang, r.text) for r in rows.orderBy("sample_id", "text").limit(max_samples).collect()])
+def load(samples: DataFrame) -> dict:
+    """The model of all rows of ``samples`` (lang, text), counted on the executors; what HOLDERS samples have in
+    common goes to the driver. Rows with a null lang or text are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(lo, TOGETHER)
+                counts = Counter(x for lang, text in zip(*(c.to_pylist() for c in some.columns)) for x in _held(lang, text))
+                columns = [*zip(*counts), counts.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int64()))], ["kind", "lang", "words", "n"])
+
+    rows = samples.select("lang", "text").where("lang is not null and text is not null")
+    held = rows.mapInArrow(run, "kind int, lang string, words string, n long").groupBy("kind", "lang", "words").agg(F.sum("n").alias("n"))
+    return _model(tuple(r) for r in held.where((F.col("n") >= HOLDERS) | (F.col("kind") == _SAMPLE)).collect())
+
+
+#: Samples counted together by a task.
+TOGETHER = 500
 
 
-def _is_in(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands among the sorted ones; -1 if it doesn't."""
     if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64)
+        return np.full(len(keys), -1, np.int64)
     at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return (sorted_keys[at] == keys).astype(np.int64)
+    return np.where(sorted_keys[at] == keys, at, -1)
 
 
 #: Kinds of word pairs: known with a content word, known without, unknown with a function word, of two known
@@ -145,8 +172,8 @@ class Sentences:
             self.known = np.zeros((len(model["langs"]), 0), np.int64)
             return
         a, b = padded[:-1], padded[1:]
-        pair = _is_in(model["pairs"], a << _BITS | b) * (a > 0) * (b > 0)
-        pair = np.r_[pair, 0]
+        place = _places(model["pairs"], a << _BITS | b)
+        pair = np.r_[(place >= 0).astype(np.int64), 0]
         pair[np.r_[first[1:], len(padded)] - 1] = 0  # from one sentence to the next
         named = model["content"]
         function = (padded > 1) & ~named[padded]
@@ -161,7 +188,7 @@ class Sentences:
         both = np.r_[of << _BITS | padded[at], of << _BITS | padded[at + 1]]
         different = np.unique(both[model["content"][both & (1 << _BITS) - 1]])
         self.content = np.bincount(different >> _BITS, minlength=len(starts))
-        triple = np.r_[_is_in(model["triples"], (a[:-1] << _BITS | b[:-1]) << _BITS | padded[2:]) * (a[:-1] > 0) * (b[:-1] > 0) * (padded[2:] > 0), 0, 0]
+        triple = np.r_[(_places(model["triples"], place[:-1] << _BITS | padded[2:]) >= 0).astype(np.int64), 0, 0]
         for back in (1, 2):
             triple[np.r_[first[1:], len(padded)] - back] = 0
         self.pairs, self.triples = np.add.reduceat(pair, first), np.add.reduceat(triple, first)
