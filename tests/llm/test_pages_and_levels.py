@@ -142,6 +142,15 @@ def test_site_lines(spark, samples):
     assert boilerplate.site_lines(docs.limit(0), samples).count() == 0
 
 
+def test_site_lines_by_all_samples(spark, samples):
+    before = spark.range(-20_000, 0).select(F.col("id").alias("sample_id"), F.lit("xx").alias("lang"), F.lit(1).alias("reading_level"), F.lit("Zig zag zug.").alias("text"))
+    lines = ["home | news | contact | search", "the teacher reads an old book in the house near the river"]
+    rows = [(i, f"https://www.acme.example/p{i}", "\n".join(lines)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "row_id long, url string, text string").withColumns({"table_name": F.lit("docs"), "title": F.lit(None).cast("string")})
+    got = {(r.row_id, r.line_no) for r in boilerplate.site_lines(docs, before.unionByName(samples)).collect()}
+    assert got == {(i, 0) for i in range(30)}  # prose stays, though all pages have it
+
+
 def test_elements_of_a_dom(spark, samples):
     rng = random.Random(5)
     rows = []
