@@ -20,7 +20,9 @@ the lines below it go on differently each time ("Related: ...").
 An element of the DOM is a branch of low importance if the entropy of its contents is low: the
 composite of that, and of its contents' importance where these are few, is below LEAST_ELEMENT.
 
-Prose is never a node: lines with a real sentence stay, and so do lines that name a topic as titles do.
+Prose is never a node: lines with a real sentence stay, and so do lines that name a topic as titles do. What is real
+is told by graded samples; sentences of words that these lack are told by their shape. As sentences begin alike, and
+furniture has that shape too, lines with such sentences go by their content and its leaves alone.
 """
 
 from __future__ import annotations
@@ -110,18 +112,19 @@ def nodes_of(words: list[str]) -> tuple[list[int], list[int]]:
 
 _LINES = pa.schema(
     [("kind", pa.int32()), ("table_name", pa.string()), ("row_id", pa.int64()), ("line_no", pa.int32()), ("host", pa.string()), ("form", pa.int64()),
-     ("k", pa.int64()), ("c", pa.int64()), ("s", pa.float64()), ("path", pa.int64()), ("first", pa.string()), ("n_pairs", pa.int32()), ("kinds", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))]
+     ("k", pa.int64()), ("c", pa.int64()), ("s", pa.float64()), ("path", pa.int64()), ("first", pa.string()), ("n_pairs", pa.int32()), ("kinds", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("shaped", pa.bool_())]
 )
-_LINES_DDL = "kind int, table_name string, row_id long, line_no int, host string, form long, k long, c long, s double, path long, first string, n_pairs int, kinds array<int>, keys array<long>"
+_LINES_DDL = "kind int, table_name string, row_id long, line_no int, host string, form long, k long, c long, s double, path long, first string, n_pairs int, kinds array<int>, keys array<long>, shaped boolean"
 TOGETHER, REMEMBERED = 500, 1_000_000
 
 
 def page_lines(pages: DataFrame, samples: DataFrame) -> DataFrame:
     """Rows of ``pages`` (table_name, row_id, url, title, text, and paths where there is a DOM), without
     stubs: each line that isn't prose or blank, with its nodes where the task meets its form on the
-    host for the first time; one row for the page; one for each topic that its title names; and for each
-    node (form) of a host, within the task, the number k of pages that have it, its occurrences c, and
-    the sum s of n log n over the pages, n its occurrences on a page."""
+    host for the first time, and whether it is shaped as a sentence; one row for the page; one for each
+    topic that its title names; and for each node (form) of a host, within the task, the number k of
+    pages that have it, its occurrences c, and the sum s of n log n over the pages, n its occurrences on
+    a page."""
     known = pages.sparkSession.sparkContext.broadcast(prose.load(samples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +160,10 @@ def page_lines(pages: DataFrame, samples: DataFrame) -> DataFrame:
                     host = host_of(url)
                     site = host.split(".")[-2] if "." in host else host
                     title = plain(title or "")
-                    rows.append((IS_PAGE, name, row_id, -1, host, *[None] * 6, 0, None, None))
+                    rows.append((IS_PAGE, name, row_id, -1, host, *[None] * 6, 0, *[None] * 3))
                     for topic in {tuple(signs(x, site, "")) for x in _TITLE_CUT.split(title)} if title else ():
                         if topic:
-                            rows.append((IS_TOPIC, name, row_id, -1, host, _key("line", *topic), *[None] * 5, 0, None, None))
+                            rows.append((IS_TOPIC, name, row_id, -1, host, _key("line", *topic), *[None] * 5, 0, *[None] * 3))
                     here: Counter = Counter()
                     for n, line in enumerate(lines):
                         if not line.strip():
@@ -168,7 +171,7 @@ def page_lines(pages: DataFrame, samples: DataFrame) -> DataFrame:
                         path = path_of[n] if path_of else None
                         if own[n]:
                             if path_of:
-                                rows.append((IS_PROSE, name, row_id, n, host, _key("prose", line), None, None, None, path, None, 0, None, None))
+                                rows.append((IS_PROSE, name, row_id, n, host, _key("prose", line), None, None, None, path, None, 0, *[None] * 3))
                             continue
                         words = signs(line, site, title)
                         form = _key("line", *words)
@@ -184,7 +187,7 @@ def page_lines(pages: DataFrame, samples: DataFrame) -> DataFrame:
                             if len(sent) > REMEMBERED:
                                 sent.clear()
                             sent.add((host, form))
-                        rows.append((IS_LINE, name, row_id, n, host, form, None, None, None, path, words[0] if words else "", kinds.count(PAIR) if kinds else 0, kinds, keys))
+                        rows.append((IS_LINE, name, row_id, n, host, form, None, None, None, path, words[0] if words else "", kinds.count(PAIR) if kinds else 0, kinds, keys, bool(prose.shaped(line))))
                     for key, n in here.items():
                         if (sums := counts.get((host, key))) is None:
                             counts[host, key] = sums = [0, 0, 0.0]
@@ -220,14 +223,14 @@ def site_lines(pages: DataFrame, samples: DataFrame) -> DataFrame:
         lines.groupBy("host", "form")
         .agg(
             F.first("first").alias("first"), F.max("n_pairs").alias("n_pairs"),
-            F.first("kinds", ignorenulls=True).alias("kinds"), F.first("keys", ignorenulls=True).alias("keys"),
+            F.first("kinds", ignorenulls=True).alias("kinds"), F.first("keys", ignorenulls=True).alias("keys"), F.max("shaped").alias("shaped"),
         )
         .join(topics, "form", "left_anti")
     )
     forms = materialize(forms, "line-forms")
-    parts = forms.select("host", "form", "n_pairs", F.explode(F.arrays_zip("kinds", "keys")).alias("n")).select(
-        "host", "form", "n_pairs", F.col("n.kinds").alias("kind"), F.col("n.keys").alias("node")
-    )
+    parts = forms.select("host", "form", "n_pairs", "shaped", F.explode(F.arrays_zip("kinds", "keys")).alias("n")).select(
+        "host", "form", "n_pairs", F.col("n.kinds").alias("kind"), F.col("n.keys").alias("node"), "shaped"
+    ).where((F.col("kind") != START) | ~F.col("shaped")).drop("shaped")
     nodes = rows.where(F.col("kind") == IS_NODE).groupBy("host", F.col("form").alias("node")).agg(F.sum("k").alias("k"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     nodes = sized(nodes, hosts)
     low = low_nodes(nodes)
@@ -236,7 +239,7 @@ def site_lines(pages: DataFrame, samples: DataFrame) -> DataFrame:
     )
     by_node = hit.where((F.col("whole") == 1) | (F.col("pairs") >= PAIRS * F.col("n_pairs"))).select("host", "form")
     # what is left, by its first word
-    left = forms.join(by_node, ["host", "form"], "left_anti").where(F.col("first") != "#").select("host", "form", "first")
+    left = forms.join(by_node, ["host", "form"], "left_anti").where((F.col("first") != "#") & ~F.col("shaped")).select("host", "form", "first")
     begun_pages = lines.select("host", "form", "table_name", "row_id").join(left, ["host", "form"]).select("host", "first", "table_name", "row_id").distinct()
     begun = begun_pages.groupBy("host", "first").agg(F.count("*").alias("k")).join(left.groupBy("host", "first").agg(F.count("*").alias("forms")), ["host", "first"])
     begun = begun.withColumnRenamed("first", "node").withColumns({"c": F.col("k"), "s": F.lit(0.0)})

@@ -215,6 +215,11 @@ def _shaped(words: list[str]) -> bool:
     return 2 * signs > len(words) or LEAST_SHORT <= sum(len(w) <= SHORT for w in words) / len(words) <= MOST_SHORT
 
 
+def shaped(line: str) -> list[list[str]]:
+    """The words of each piece of a line that has the shape of a sentence and ends with a mark."""
+    return [w for w in map(_WORD.findall, _STOP.split(line)[:-1]) if _shaped(w)]
+
+
 def foreign(text: str, model: dict) -> list[tuple[int, int]] | None:
     """For each line of a page in a language without samples its sentences and their words; None for a page that
     isn't in such a language, or is mostly no sentences, or if there are no samples.
@@ -222,7 +227,7 @@ def foreign(text: str, model: dict) -> list[tuple[int, int]] | None:
     A sentence is a piece of the shape of one of which most word pairs aren't repeated on the page, as
     those of keywords are.
     """
-    lines = [[w for w in map(_WORD.findall, _STOP.split(line)[:-1]) if _shaped(w)] for line in text.split("\n")]
+    lines = [shaped(line) for line in text.split("\n")]
     pieces = [w for own in lines for w in own]
     if not pieces:
         return None

@@ -151,6 +151,22 @@ def test_site_lines_by_all_samples(spark, samples):
     assert got == {(i, 0) for i in range(30)}  # prose stays, though all pages have it
 
 
+def test_prose_of_words_that_no_sample_has_stays(spark):
+    """Its lines begin alike, as furniture does; of the site's own sentences, which have its shape too, none stays."""
+    rng, rows = random.Random(6), []
+    graded_rows = [(r["sample_id"], r["lang"], r["text"]) for r in graded()]
+    new = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    for i in range(60):
+        alike = f"If the {new()} of a {new()} is {new()}, the {new()} will {new()} in {new()}."
+        own = f"Unlike {new()}, {new()} and {new()} have no {new()} to {new()} with {new()}."
+        note = f"This site keeps small files on your device to remember the settings of {rng.choice(['readers', 'guests'])}."
+        rows.append((i, f"https://www.acme.example/p{i}", f"X{i}", "\n".join(["Home | News | Contact | Search", alike, own, note, f"Related: {new()} notes, {new()} lab"])))
+    docs = spark.createDataFrame(rows, "row_id long, url string, title string, text string").withColumn("table_name", F.lit("docs"))
+    samples = spark.createDataFrame(graded_rows, "sample_id long, lang string, text string")
+    got = {(r.row_id, r.line_no) for r in boilerplate.site_lines(docs, samples).collect()}
+    assert got == {(i, n) for i in range(60) for n in (0, 3, 4)}
+
+
 def test_elements_of_a_dom(spark, samples):
     rng = random.Random(5)
     rows = []
