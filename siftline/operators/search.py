@@ -61,7 +61,7 @@ def search(
     if blocks is not None and limit is not None:
         options = {"method": method, "limit": limit, "domain": domain, "boosts": boosts, "all_terms": all_terms, "exclude": exclude, "settings": settings}
         plain = parsed.where(F.size("phrases") == 0) if phrases else parsed
-        found = top(search_blocks(plain, blocks, lengths, **options), limit)
+        found = search_blocks(plain, blocks, lengths, **options)
         if not phrases:
             return found
         parsed = materialize(parsed.where(F.size("phrases") > 0), "parsed-queries")

@@ -67,3 +67,33 @@ def test_blocks_that_cannot_matter_are_skipped():
     assert first[0][1].tolist() == [1, 2]
     assert list(scorer.block(page([3, 4], "other"), ["sort"], np.array([2]), np.array([3, 4]), np.array([1, 1]))) == []
     assert list(scorer.block(page([5], "sort"), ["sort"], np.array([1]), np.array([5]), np.array([9])))[0][1].tolist() == [5]
+
+
+@pytest.mark.parametrize("common", [0.0, 0.2, 0.3, 2.0])
+@pytest.mark.parametrize("options", [{}, {"all_terms": True, "limit": 4}, {"exclude": True, "limit": 7}, {"method": "tfidf", "boosts": False}])
+def test_common_and_own_terms_give_what_all_pairs_give(spark, made, monkeypatch, options, common):
+    docs, postings, lengths, index_rows = made
+    texts = ["sort AND tree AND queue", "tree sort AND queue", "queue  sort AND Tree", "sort -tree", "sort -tree graph", "cache site:C%D", "cache tok site:a_b", "sort sort tok", "graph AND nothing", "ach sort", "index or or"]
+    texts += ["graph sort", "sort graph", "memory sort", "Sort GRAPH", "kernel graph sort", "sort", "graph", "paging paging", "stack graph -sort", "stack AND graph", "nothing graph", "nothing"]
+    asked_ = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    options = {"limit": 10} | options
+    want = rows(search.search(asked_, docs, postings, lengths, **options))
+    monkeypatch.setattr(blocks, "COMMON", common)
+    assert rows(search.search(asked_, docs, postings, lengths, blocks=index_rows, **options)) == want and want
+
+
+def _scorings(queries):
+    """What queries of (own terms, words, and whether all must be held) are scored for all together, and what is left of each."""
+    groups, place, rest, rest_of = blocks._split([(k, own, words, None, all_of, []) for k, (own, words, all_of) in enumerate(queries)], True)
+    return [(g[1], g[2]) for g in groups], place, [q[-2:] for q in rest], rest_of
+
+
+def test_common_terms_are_scored_once_for_all_queries(monkeypatch):
+    monkeypatch.setattr(blocks, "COMMON", 0.3)
+    exam = [([(0, 1), (k, 1)], ["exam", f"w{k}"], False) for k in range(1, 9)]
+    groups, place, rest, rest_of = _scorings([*exam, ([(0, 1)], ["exam"], False), ([(0, 1), (9, 1)], ["exam", "w9"], True)])
+    assert groups == [([(0, 1)], ["exam"])]
+    # a query with AND has no page that lacks its own term
+    assert place == [0] * 9 + [-1]
+    assert rest == [((k,), (f"w{k}",)) for k in range(1, 10)] and rest_of == [*range(8), 9]
