@@ -97,3 +97,11 @@ def test_common_terms_are_scored_once_for_all_queries(monkeypatch):
     # a query with AND has no page that lacks its own term
     assert place == [0] * 9 + [-1]
     assert rest == [((k,), (f"w{k}",)) for k in range(1, 10)] and rest_of == [*range(8), 9]
+
+
+def test_queries_share_common_terms_only_with_the_same_exclusions(monkeypatch):
+    monkeypatch.setattr(blocks, "COMMON", 0.3)
+    queries = [(k, [(0, 1), (k, 1)], ["exam", f"w{k}"], None, False, [20] if k > 4 else []) for k in range(1, 9)]
+    groups, place, rest, _ = blocks._split(queries, True)
+    assert [g[1:] for g in groups] == [([(0, 1)], ["exam"], None, False, []), ([(0, 1)], ["exam"], None, False, [20])]
+    assert place == [0] * 4 + [1] * 4 and [q[5] for q in rest] == [[]] * 4 + [[20]] * 4
