@@ -105,3 +105,16 @@ def test_queries_share_common_terms_only_with_the_same_exclusions(monkeypatch):
     groups, place, rest, _ = blocks._split(queries, True)
     assert [g[1:] for g in groups] == [([(0, 1)], ["exam"], None, False, []), ([(0, 1)], ["exam"], None, False, [20])]
     assert place == [0] * 4 + [1] * 4 and [q[5] for q in rest] == [[]] * 4 + [[20]] * 4
+
+
+def test_own_pages_below_those_by_common_terms_stay_in_the_block():
+    import numpy as np
+
+    options = {"method": "bm25", "k1": 1.5, "b": 0.75, "title": 0.5, "authority": 0.3, "boosts": True, "limit": 2}
+    pages = {"doc_id": [1, 2, 3], "doc_len": [5] * 3, "pr": [0.0] * 3, "title": ["An exam", "Resorting", ""], "domain": [None] * 3}
+    lists = (["exam", "sort"], np.array([3, 1]), np.array([1, 2, 3, 3]), np.array([1, 1, 1, 1]))
+    query = (7, [(0, 1), (1, 1)], ["exam", "sort"], None, False, [], (1,), ("sort",))
+    found = lambda floor: [x[1].tolist() for x in blocks._Rest([query], {"exam": 4, "sort": 1}, (10, 5.0), options, np.array([floor])).block(pages, *lists)]
+    # page 2 has the word within its title only, page 1 has but the common term
+    assert found(-np.inf) == [[2, 3]]
+    assert found(2.5) == [[3]] and found(99.0) == []
